@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licences, media, mixing, pieces, quality, sharding
+from . import chat, langid, licences, media, mixing, ngram_join, pieces, quality, sharding
 from .sql import SQL
 
 
@@ -36,6 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_media_columns, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_mixing, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_media_columns, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_mixing, op8_ngram_join, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
