@@ -73,10 +73,10 @@ def measures(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, text_col: str, stratum_col: str, id_col: str) -> DataFrame:
-    """``row`` (the input's columns), ``id``, ``stratum`` and the measures; written once, as they are read twice."""
+def measured(docs: DataFrame, text_col: str, stratum_col: str, id_col: str, carry: list[str]) -> DataFrame:
+    """``row`` (the columns to carry), ``id``, ``stratum`` and the measures; written once, as they are read twice."""
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{stratum_col}`").cast("string").alias("stratum"),
         measures(F.col(f"`{text_col}`")).alias("m"),
@@ -133,10 +133,10 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float, delta: float, pric
     return best.groupBy("s").agg(*[F.coalesce(F.max(F.when(F.col("rule") == r, value)), F.lit(2.0)).alias(f"c{r}") for r in range(len(RULES))]).select("s", F.array(*[f"c{r}" for r in range(len(RULES))]).alias("cut"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", stratum_col="lang", limit=LIMIT, delta=DELTA, price=PRICE) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", stratum_col="lang", limit=LIMIT, delta=DELTA, price=PRICE, carry: list[str] | None = None) -> DataFrame:
     """The measured rows with ``kept``.  The cutoffs are a written table of a row for each stratum, so that Spark knows
     its size and broadcasts it only if that is under the session's threshold."""
-    rows = measured(docs, text_col, stratum_col, id_col)
+    rows = measured(docs, text_col, stratum_col, id_col, docs.columns if carry is None else carry)
     cuts = scratch(cutoffs(rows, labels, limit, delta, price))
     rows = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), "stratum"), F.lit(""))).join(cuts, "s", "left")
     hit = F.coalesce(F.exists(F.zip_with("shares", "cut", lambda a, c: a > c), lambda x: x), F.lit(False))
@@ -150,6 +150,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The contract's columns, one row for each row of ``docs``."""
-    slim = docs.select("doc_id", "text", "lang")
-    slim = judged(slim.select("doc_id", "lang", "text"), labels, **options)
-    return slim.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(docs, labels, carry=["doc_id"], **options).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licences, media, mixing, ngram_join, pieces, quality, sharding
+from . import chat, langid, licences, line_dedup, media, mixing, ngram_join, pieces, quality, sharding
 from .sql import SQL
 
 
@@ -20,6 +20,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.thread(table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_media_columns, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_mixing, op8_ngram_join, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_media_columns, op3_line_dedup, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_mixing, op8_ngram_join, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
