@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Results kept in a Python worker; twice as many while they are renewed.
 REMEMBERED = 150_000
-#: How much less than the lowest piece of one character a character outside the vocabulary scores.
+#: How much less than the lowest piece of one character other than the space a character outside the vocabulary scores.
 UNKNOWN = 10
 
 
@@ -55,7 +55,7 @@ class Pieces:
 
     def __init__(self, vocabulary: dict[str, tuple[int, float]], bytes_at: int, plain: dict[int, bytes]):
         self.bytes_at, self.plain = bytes_at, plain
-        self.lowest = min((s for p, (_, s) in vocabulary.items() if len(p) == 1), default=0) - UNKNOWN
+        self.lowest = min((s for p, (_, s) in vocabulary.items() if len(p) == 1 and p != SPACE), default=0) - UNKNOWN
         self.starts: dict[str, tuple[int, float] | None] = {}
         glued = set()
         for piece, entry in vocabulary.items():
