@@ -64,7 +64,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def leaders(table: pa.Table):
-    """Edges (k, leader) of a group of sketches."""
+    """Edges (k, least k) of the sets of a group that are connected through its leaders."""
     ids = table.column("k").to_numpy()
     side = table.column("side").to_numpy()
     crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
@@ -84,7 +84,7 @@ def leaders(table: pa.Table):
     ends = np.cumsum(np.bincount(token[by])) if len(by) else np.empty(0, np.int64)
     postings = np.split(owner[by], ends[:-1]) if len(by) else []
     tokens = np.split(token, np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1])
-    a, b = [], []
+    label = np.arange(len(ids))
     while True:
         left = np.flatnonzero(open_)
         if not len(left):
@@ -95,13 +95,15 @@ def leaders(table: pa.Table):
             continue
         count = np.bincount(np.concatenate([postings[t] for t in tokens[leader]]), minlength=len(ids))
         both = size + size[leader]
-        near = np.flatnonzero(count >= ATTACH * both)
-        near = near[near != leader]
-        a.append(ids[near])
-        b.append(np.full(len(near), ids[leader]))
+        old = np.unique(label[np.append(np.flatnonzero(count >= ATTACH * both), leader)])
+        if len(old) > 1:
+            label[np.isin(label, old)] = old[0]
         open_ &= count < COVER * both
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    moved = np.flatnonzero(ids != least[label])
+    if len(moved):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[label[moved]])], names=["a", "b"])
 
 
 def world(percent: int):
