@@ -122,9 +122,10 @@ def paragraphs(html: Column) -> Column:
     parts = F.slice(F.split(clean, r"(?i)<p(?:\s[^>]*)?>"), 2, 1_000_000_000)
     ends = r"(?is)</?(?:p|div|ul|ol|table|section|article|header|footer|nav|body|html|h[1-6])\b.*"
     inner = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, ends, ""), "<[^>]*>", ""))
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        inner = F.transform(inner, lambda x, code=code, char=char: F.replace(x, F.lit(code), F.lit(char)))
-    return F.array_join(inner, "\n")
+    out = F.array_join(inner, "\n")
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
 
 def manifest(opf: Column, pattern: Column) -> Column:
