@@ -52,8 +52,8 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends are among the nodes."""
     ids = nodes.select("id").distinct()
-    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    return edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    return kept.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def large_components(nodes: DataFrame, edges: DataFrame, least: int = MIN_COMPONENT) -> DataFrame:

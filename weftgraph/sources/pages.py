@@ -15,8 +15,10 @@ FORMATS = {"json": "json", "txt": "text", "text": "text", "parquet": "parquet"}
 
 
 def format_of(path: str) -> str:
-    """The format of a path by its ending; plain text where it tells nothing.  Pickles are refused, as loading one runs its code."""
+    """The format of a path by its ending: folders without one are parquet, unknown endings plain text.  Pickles are refused, as loading one runs its code."""
     ending = PurePosixPath(path).suffix.removeprefix(".").lower()
+    if not ending:
+        return "parquet"  # a folder
     if ending in ("pkl", "pickle", "p"):
         raise ValueError("pickles are not read")
     return FORMATS.get(ending, "text")
