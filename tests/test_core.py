@@ -44,7 +44,7 @@ def test_names(spark):
 BOX = """{{image|x}} {{character
 |name = Annie, {{tag|The Red}}
 |aliases = Nan<ref>x</ref>, {{highprince|north|of all}}
-|titles={{tag|highprince|Alethkar}}, Boss
+|titles={{tag|highprince|Northland}}, Boss
 |books = [[Book One]], ''[[B2|Book Two]]'', [[Other]]
 |world-raw = [[Earth]]
 |universe = Tales
@@ -64,7 +64,7 @@ def test_wikitext():
     dims = Dims(demonyms={"northern": "North"}, species={"stone spren": "Stone"}, books={"Book One": "one", "Book Two": "two"}, kinds={"spren": "Spirit"})
     got = record(BOX, dims)
     assert got["has_box"] and not got["deleted"] and got["books"] == ["one", "two"] and got["world"] == "Earth" and got["nationality"] == "North"
-    assert got["aliases"][0].startswith("Nan") and got["aliases"][-2:] == ["Annie", "The Red"] and "highprince of Alethkar" in got["titles"]
+    assert got["aliases"][0].startswith("Nan") and got["aliases"][-2:] == ["Annie", "The Red"] and "highprince of Northland" in got["titles"]
     assert got["species"] == "Spirit" and got["subspecies"] == "Stone" and got["parents"] == ["Mary Lee", "John"] and got["family"] == "House Lee"
     assert got["abilities"][:2] == ["shard", "shard of fire"] and "squire (bob)" in got["abilities"] and got["residence"] == "Small Town, city"
     assert got["died"] is True and got["unnamed"] is False and "junk" not in got

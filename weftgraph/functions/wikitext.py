@@ -87,9 +87,9 @@ def walk(nodes: list):
 
 
 def plain(nodes: list) -> str:
-    """Text without markup; templates vanish, comments, tags and quote marks too."""
+    """Text without markup; templates, comments, references, tags and quote marks vanish."""
     text = "".join(n if isinstance(n, str) else n.shown if isinstance(n, Link) else "" for n in nodes)
-    return re.sub(r"<!--.*?-->|<[^>]*>|'{2,}", "", text, flags=re.S)
+    return re.sub(r"<!--.*?-->|<ref\b[^>]*/>|<ref\b.*?</ref\s*>|<[^>]*>|'{2,}", "", text, flags=re.S)
 
 
 def simple(nodes: list) -> list:
