@@ -315,3 +315,17 @@ def test_quotations(spark):
     assert all(got[3, t]["parent_turn"] == (t - 1 if t else None) and got[3, t]["root_turn"] == 0 and got[3, t]["depth"] == t for t in range(700))
     order = [(r["conv_id"], r["turn"]) for r in chat.thread(spark.createDataFrame(rows[:4], "conv_id bigint, turn bigint, role string, text string")).collect()]
     assert order == [(1, 0), (1, 1), (1, 3), (1, 2)]
+
+
+def test_sets_about_the_size_of_a_sketch_lose_no_link(spark):
+    """Pairs of 52 to 90 shingles at just the threshold, where a partner's sketch isn't its whole set."""
+    rnd = random.Random(9)
+    rows, word = [], lambda: "".join(rnd.choices("abcdefgh", k=6))
+    for k in range(150):
+        n = rnd.randint(52, 68)
+        text = [word() for _ in range(n)]
+        more = (n - 4) * 100 // 75 - (n - 4)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + [word() for _ in range(more)]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.digest(docs).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}

@@ -1,8 +1,8 @@
 """Self join of texts by the Jaccard similarity of their word shingles: a prefix-tree join, dealt out in closed worlds.
 
 1. Each text's set is hashed once; equal sets become one, with a count.  A set's sketch is its least ``SKETCH`` hashes.
-2. Sets that can't link go: if a set links, at least ``percent`` of its elements are shared.  Up to ``SKETCH`` elements
-   this is tested exactly.  Of a larger set, a linked pair shares each of the least hashes of its union with
+2. Sets that can't link go: if a set links, at least ``percent`` of its elements are shared.  This is tested exactly for
+   sets so small that the sketches of all possible partners are whole.  Of a larger set, a linked pair shares each of the least hashes of its union with
    probability >= 0.75, so that fewer than 17 shared of 64 has a chance below 1e-15, far below that of a lost row.
 3. Worlds: sets that share one of their least ``ROUTES`` hashes meet in a group (a linked pair misses all with chance
    0.25**16).  In a group, leaders are chosen: a set is attached to every leader that its sketch resembles at about 0.25
@@ -124,7 +124,9 @@ def survivors(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
     shared = scratch(tokens.join(common, "t"))
     counted = shared.groupBy("k").agg(F.count(F.lit(1)).alias("own")).join(sets.select("k", "n"), "k")
-    enough = F.when(F.col("n") <= SKETCH, F.col("own") * 100 >= F.col("n") * percent).otherwise(F.col("own") >= SHARED)
+    # Sketches of all that such a set can link with are whole sets.
+    complete = F.col("n") * 100 <= SKETCH * percent
+    enough = F.when(complete, F.col("own") * 100 >= F.col("n") * percent).otherwise(F.col("own") >= SHARED)
     return scratch(counted.where(enough).select("k").distinct()), shared
 
 
