@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import graph, lexicon, mentions, runs
+from ..operators.components import written
 from ..sources.pages import paragraphs
 
 TITLES = ["The", "Of", "And"]
@@ -43,8 +44,10 @@ def entities(spark, sf_dir, lex: DataFrame) -> DataFrame:
 
 
 def found(spark, sf_dir) -> DataFrame:
-    lex = stand_in(spark, sf_dir)
-    return mentions.mentions(mentions.ngrams(chapters(spark, sf_dir)), mentions.candidates(lex, entities(spark, sf_dir, lex)), TITLES)
+    """The lexicon is written once, as it is joined five times; Spark then knows its size and broadcasts it if it is small."""
+    lex = written(stand_in(spark, sf_dir))
+    cands = written(mentions.candidates(lex, entities(spark, sf_dir, lex)))
+    return mentions.mentions(mentions.ngrams(chapters(spark, sf_dir)), cands, TITLES)
 
 
 def answers(hits: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def answers(hits: DataFrame) -> DataFrame:
 
 
 def walked(spark, sf_dir) -> DataFrame:
-    hits = found(spark, sf_dir)
+    hits = written(found(spark, sf_dir))
     return runs.runs(mentions.resolved(hits, answers(hits)))
 
 
@@ -98,12 +101,12 @@ def mention_ladder(spark, sf_dir):
 
 
 def resolution_join(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = written(found(spark, sf_dir))
     return mentions.resolved(hits, answers(hits)).select("chapter", "pos", "hit", "open")
 
 
 def pending_questions(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = written(found(spark, sf_dir))
     known = answers(hits).where("char_id is not null")
     out = mentions.pending(hits, known, chapters(spark, sf_dir))
     return out.select("chapter", "pos", F.array_join("prev", "|").alias("prev"), "run", F.array_join("next", "|").alias("next"))
@@ -168,7 +171,23 @@ def _around(pos: str) -> str:
 _HTML = r"""array_to_string(list_transform(list_slice(regexp_split_to_array(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?i)<p(?:\s[^>]*)?>'), 2, 1000000000),
   lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?is)</?(?:p|div|ul|ol|table|section|article|header|footer|nav|body|html|h[1-6])\b.*', '', 'g'), '<[^>]*>', '', 'g'),
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), chr(10))"""
+_HIT = "CASE WHEN kind = 0 THEN CASE WHEN pos % 3 <> 0 THEN (pos % 50)::BIGINT END WHEN len(ids) > 1 THEN CASE WHEN pos % 3 <> 0 THEN ids[pos % len(ids) + 1] END WHEN len(ids) = 1 THEN ids[1] END"
+#: Runs, with each chapter's mentions as a list: a fold over those within 25 tokens follows the path of one run.
+_FOLD = """list_reduce(list_filter(hl, lambda x: x.p >= idx AND x.p < idx + 25), lambda a, x: CASE WHEN x.p < a.p THEN a
+    ELSE {'p': x.p + x.s, 's': a.s, 'h': list_concat(a.h, x.h), 'f': CASE WHEN len(a.h) = 0 AND len(x.h) > 0 THEN x.p + x.s - a.s ELSE a.f END} END, {'p': idx, 's': idx, 'h': []::BIGINT[], 'f': 0::BIGINT})"""
+_WALK = f"""res AS (SELECT key, chapter, n_tokens, pos, step, {_HIT} AS hit FROM hits),
+  chap AS (SELECT key, chapter, any_value(n_tokens)::BIGINT AS n, list({{'p': pos::BIGINT, 's': step::BIGINT, 'h': CASE WHEN hit IS NULL THEN []::BIGINT[] ELSE [hit] END, 'f': 0::BIGINT}} ORDER BY pos) AS hl FROM res GROUP BY ALL),
+  walk AS (
+    SELECT key, chapter, n, hl, 0::BIGINT AS idx FROM chap WHERE n > 0
+    UNION ALL SELECT * FROM (SELECT key, chapter, n, hl, idx + CASE WHEN len(r.h) > 1 THEN r.f + 1 WHEN len(r.h) = 1 THEN r.f ELSE 24 END AS idx FROM (SELECT *, {_FOLD} AS r FROM walk)) WHERE idx < n),
+  runs AS (SELECT key, chapter, idx, list_sort(list_distinct(({_FOLD}).h)) AS members FROM walk),
+  pairs AS (SELECT key, chapter, src, dst, count(*) AS weight FROM (SELECT key, chapter, src, unnest(members) AS dst FROM (SELECT *, unnest(members) AS src FROM runs)) WHERE src < dst GROUP BY ALL)"""
 SQL = {
+    "run_walk": f"{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{_FOUND},\n{_WALK} SELECT chapter, idx::INT AS idx, array_to_string(members, ',') AS members FROM runs WHERE len(members) > 0",
+    "cooccurrence_rollup": f"""{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{_FOUND},\n{_WALK}, base AS (SELECT 's' || (regexp_extract(key, '(\\d+)', 1)::INT % 3) AS series, * FROM pairs)
+      SELECT CASE grouping(series, key, chapter) WHEN 0 THEN 'chapter' WHEN 1 THEN 'book' WHEN 3 THEN 'series' ELSE 'universe' END AS level, series, key, chapter, src, dst, sum(weight)::BIGINT AS weight FROM base
+      GROUP BY GROUPING SETS ((series, key, chapter, src, dst), (series, key, src, dst), (series, src, dst), (src, dst))""",
+    "cooccurrence_book": f"""{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{_FOUND},\n{_WALK} SELECT key, src, dst, sum(weight)::BIGINT AS weight FROM pairs GROUP BY ALL HAVING sum(weight) >= 2 OR src = 13 OR dst = 13""",
     "tokenise": f"WITH {_TOKS},\n{_GRAMS} SELECT chapter, pos, token FROM grams",
     "ngram_lookahead": f"WITH {_TOKS},\n{_GRAMS} SELECT chapter, pos, token, token || ' ' || next_one AS two, token || ' ' || next_two AS three FROM grams",
     "html_paragraphs": f"SELECT page_id, {_HTML} AS text FROM pages",
@@ -178,8 +197,7 @@ SQL = {
     "lexicon_prefix": f"{_BASE} SELECT moniker, id FROM lex WHERE starts_with(moniker, 'Th')",
     "lexicon_size": f"{_BASE} SELECT count(DISTINCT moniker) AS n_monikers, count(*) AS n_entries FROM lex",
     "mention_ladder": f"{_BASE},\n{_FOUND} SELECT key, chapter, pos, step, kind, array_to_string(ids, ',') AS ids FROM hits",
-    "resolution_join": f"""{_BASE},\n{_FOUND} SELECT chapter, pos, CASE WHEN kind = 0 THEN CASE WHEN pos % 3 <> 0 THEN (pos % 50)::BIGINT END
-      WHEN len(ids) > 1 THEN CASE WHEN pos % 3 <> 0 THEN ids[pos % len(ids) + 1] END WHEN len(ids) = 1 THEN ids[1] END AS hit, false AS open FROM hits""",
+    "resolution_join": f"""{_BASE},\n{_FOUND} SELECT chapter, pos, {_HIT} AS hit, false AS open FROM hits""",
     "pending_questions": f"{_BASE},\n{_FOUND} SELECT h.chapter, pos, {_around('pos')} FROM hits h JOIN docs USING (key, chapter) WHERE (kind = 0 OR len(ids) > 1) AND pos % 3 = 0",
     "context_window": f"WITH {_TOKS} SELECT chapter, pos, {_around('pos')} FROM (SELECT *, (len(t) // 2)::INT AS pos FROM docs)",
 }
