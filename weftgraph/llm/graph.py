@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,29 +48,45 @@ def blocked(rows: DataFrame, key: str, ident: str, most: int, size: str | None =
 
 
 def by_group(rows: DataFrame, keys: list[str], then: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply ``then`` to the rows of each group, as an Arrow table.  Groups are sorted runs; only one is held at a time."""
+    """Apply ``then`` to the rows of each group, as an Arrow table.  Keys are integers.  Groups are sorted runs; only one is held at a time, and small results are sent together."""
 
-    def run(batches):
+    def groups(batches):
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            columns = [batch.column(k).to_pylist() for k in range(len(keys))]
-            marks = list(zip(*columns, strict=True))
-            start = 0
-            for at in range(len(marks) + 1):
-                if at < len(marks) and marks[at] == last:
-                    continue
-                if at > start:
-                    held.append(batch.slice(start, at - start))
-                    start = at
-                if at < len(marks):
-                    if held:
-                        yield from then(pa.Table.from_batches(held))
-                    held, last = [], marks[at]
+            columns = [batch.column(k).to_numpy() for k in range(len(keys))]
+            change = np.zeros(n, bool)
+            change[0] = last is None or any(c[0] != x for c, x in zip(columns, last, strict=True))
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(change).tolist()
+            if held and starts[:1] == [0]:
+                yield held
+                held = []
+            for a, b in zip([0] * (starts[:1] != [0]) + starts, [*starts[starts[:1] == [0] :], n], strict=True):
+                held.append(batch.slice(a, b - a))
+                if b < n:
+                    yield held
+                    held = []
+            last = [c[-1] for c in columns]
         if held:
-            yield from then(pa.Table.from_batches(held))
+            yield held
+
+    def run(batches):
+        out: list[pa.RecordBatch] = []
+        size = 0
+        for held in groups(batches):
+            for made in then(pa.Table.from_batches(held)):
+                out.append(made)
+                size += made.num_rows
+            if size > 4096:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, size = [], 0
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     rest = [c for c in rows.columns if c not in keys]
     return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -16,6 +16,8 @@ empty table gives an empty result; other columns are carried untouched; texts ar
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from .shingles import _BACK, _BASE, _BYTE, mixed, powers, together
 PERCENT, LEAST, WINDOW = 80, 16, 8
 BANDS, ROWS = 10, 4
 ELEMENTS = 1 << 20
+#: Worlds of so few lines are compared pair by pair; larger ones by the trie.
+HANDFUL = 6
 #: Band entries that a task holds before it links them.
 HELD = 1 << 22
 #: Rows that are broadcast to the texts; above, they are joined by a shuffle.
@@ -173,13 +177,37 @@ def bridged(batches):
         last, pivot = band[-1], top[-1]
 
 
+def few_joined(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """What ``trie.joined`` gives first, pair by pair; for a handful of sets."""
+    label = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if label[a] == label[b]:
+            continue
+        x, y = sets[a], sets[b]
+        small, large = sorted((len(x), len(y)))
+        if 100 * small < percent * large:
+            continue
+        both = np.concatenate([x, y])
+        both.sort()
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        if (100 + percent) * shared >= percent * (len(x) + len(y)):
+            old, new = sorted((label[a], label[b]), reverse=True)
+            label = [new if k == old else k for k in label]
+    return np.array(label)
+
+
 def world(percent: int):
     def then(table: pa.Table):
         sets = [np.unique(windows(np.frombuffer(x, np.uint8))) for x in table.column("form").to_pylist()]
-        hs = table.column("h").to_pylist()
         crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        label, _ = trie.joined(sets, percent, table.column("side").to_numpy() if crossing else None)
+        if len(sets) <= HANDFUL and not crossing:
+            label = few_joined(sets, percent)
+        else:
+            label, _ = trie.joined(sets, percent, table.column("side").to_numpy() if crossing else None)
         moved = np.flatnonzero(label != np.arange(len(label)))
+        if not len(moved):
+            return
+        hs = table.column("h").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([hs[x] for x in moved], pa.binary()), pa.array([hs[label[x]] for x in moved], pa.binary())], names=["h", "first"])
 
     return then
