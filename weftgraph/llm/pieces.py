@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Results kept in a Python worker (about 400 bytes each); at most twice as many, with the older generation.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: How much less than the lowest piece of one character other than the space a character outside the vocabulary scores.
 UNKNOWN = 10
 
@@ -63,7 +63,7 @@ class Pieces:
                 self.starts.setdefault(piece[:k], ())
                 if piece[k - 1].isalnum() or piece[k - 1] == "_":
                     glued.add(piece[k])
-            self.starts[piece] = entry
+            self.starts[piece] = (*entry, (entry[0],))
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {piece!r} crosses a space")
         x = "".join(re.escape(c) for c in sorted(glued) if not re.match(r"\w", c) and c != SPACE)
@@ -100,7 +100,7 @@ class Pieces:
                 if entry:
                     if j == i + 1:
                         known = True
-                    into[j].append((i, entry[1], (entry[0],)))
+                    into[j].append((i, entry[1], entry[2]))
                     if here + entry[1] > score[j]:
                         score[j] = here + entry[1]
             if not known:
@@ -122,9 +122,15 @@ class Pieces:
                     chain = chain[1]
                 found.append((-cost, tuple(ids)))
                 continue
+            ways = []
             for i, s, ids in into[j]:
                 count += 1
-                push(heap, (-(score[i] + s + behind), count, i, behind + s, (ids, chain)))
+                ways.append((-(score[i] + s + behind), count, i, behind + s, (ids, chain)))
+            if len(ways) > n:  # each is a whole segmentation of just that cost, so more than n can't matter
+                ways.sort()
+                del ways[n:]
+            for way in ways:
+                push(heap, way)
         return found
 
     hidden = ""
