@@ -9,8 +9,8 @@
 3. In a world, sets of whole shingles are joined exactly (100 * intersection >= PERCENT * union), worlds over a size in
    pairs of blocks; distributed union-find gives the groups, and the first line by (id, text hash, line) of each stays.
 
-Cases: null stays null; lines with fewer than ``LEAST`` bytes in normal form (blank ones too) are left alone; an empty
-text stays; rows that agree in id and text get the same lines dropped; ties go to the smaller id, null first; an
+Cases: null stays null; lines without a letter or digit (blank ones too) are left alone; lines shorter than a window have
+no signature and are alike only if their normal forms are equal; an empty text stays; rows that agree in id and text get the same lines dropped; ties go to the smaller id, null first; an
 empty table gives an empty result; other columns are carried untouched; texts are taken whole.
 """
 
@@ -29,7 +29,7 @@ from .common import scratch
 from .graph import blocked, by_group, components
 from .shingles import _BACK, _BASE, _BYTE, mixed, powers, together
 
-PERCENT, LEAST, WINDOW = 80, 16, 8
+PERCENT, WINDOW = 80, 8
 BANDS, ROWS = 10, 4
 ELEMENTS = 1 << 20
 #: Worlds of so few lines are compared pair by pair; larger ones by the trie.
@@ -140,7 +140,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size = np.diff(at)
                 doc = np.repeat(np.arange(end - start), counts)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-                use = np.flatnonzero(size >= LEAST)
+                use = np.flatnonzero(size)
                 if not len(use):
                     continue
                 a, b = at[:-1][use], at[1:][use]
@@ -148,7 +148,11 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(use), [None, pa.py_buffer(np.stack([k, k2], axis=1).tobytes())]).cast(pa.binary())
                 pick = pa.array(doc[use] + start)
                 yield rows(len(use), kind=np.zeros(len(use), np.int32), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), line=number[use].astype(np.int32), h=h, k=k.view(np.int64), size=size[use])
-                k_once, which = np.unique(k, return_index=True)
+                fuzzy = b - a >= WINDOW
+                if not fuzzy.any():
+                    continue
+                a, b = a[fuzzy], b[fuzzy]
+                k_once, which = np.unique(k[fuzzy], return_index=True)
                 bands.append(band_keys(form, a[which], b[which]).ravel())
                 keys.append(np.repeat(k_once, BANDS))
                 held += len(bands[-1])
@@ -273,9 +277,9 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", percent: int
 
 
 def without_copies(docs: DataFrame, id_col="doc_id", text_col="text", chars_col="n_chars", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with their texts (and numbers of characters) after deduplication.  Documents that lost lines and have no word left go."""
+    """The rows of ``docs`` with their texts (and numbers of characters) after deduplication.  Documents that lost lines and have no letter or digit left go."""
     out = deduplicated(docs, id_col, text_col, percent)
-    out = out.where((F.col("n_gone") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.where((F.col("n_gone") == 0) | F.col("left").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     changed = {text_col: F.col("left"), chars_col: F.when(F.col("n_gone") == 0, F.col(f"row.`{chars_col}`")).otherwise(F.length("left"))} if chars_col in docs.columns else {text_col: F.col("left")}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
