@@ -1,7 +1,7 @@
 """Cases that a cut would lose: what a review of the operators found missing."""
 
 from tests.llm import brute
-from weftgraph.llm import line_dedup
+from weftgraph.llm import line_dedup, ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +19,11 @@ def test_copies_with_short_lines_go(spark):
     text = "Menu\n---\n\nÉ\nA line that is long enough to have a signature"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "menu!\nother"), (4, "***"), (5, "ok")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.without_copies(docs).collect()} == {1: text, 3: "other", 4: "***", 5: "ok"}
+
+
+def test_rows_that_share_an_id_but_do_not_link_all_stay(spark):
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "red orange yellow green blue indigo")
+    rows = [(None, a), (None, b), (None, b), (7, a), (8, b.upper()), (9, c), (9, "x y z"), (9, "x y z"), (10, c), (None, "p q r s t u"), (None, "v w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([(7, a), (8, b.upper()), (9, c), (9, "x y z"), (None, "p q r s t u"), (None, "v w")], key=str)

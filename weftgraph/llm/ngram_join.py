@@ -13,8 +13,8 @@
    blocks, each pair of which is a task of bounded size; components of the blocks' results are joined once more.
 
 Cases: null, empty and wordless texts have the empty set and link with nothing; fewer than five words are one shingle;
-repeated rows and equal texts are one set; ties go to the smallest id, and a null id is never a representative unless all
-are null; other columns are ignored; an empty table gives an empty result; texts are taken whole.
+repeated rows and equal texts are one set; ties go to the smallest id, then to the least text hash, and a null id is never a
+representative unless all are null; ids need not be unique: rows of one id (or of none) whose texts don't link are kept apart; other columns are ignored; an empty table gives an empty result; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -44,9 +44,10 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig, sketch) for each row: size and 128-bit signature of its set, and the least hashes."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = T.StructType([slim.schema[0], T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
+    """(id, fp, n, sig, sketch) for each row: its text's hash, size and 128-bit signature of its set, and the least hashes."""
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("fp"))
+    schema = T.StructType([slim.schema[0], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType(), False))])
 
     def run(batches):
         for batch in batches:
@@ -57,7 +58,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 values = pa.array(np.concatenate(least).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in least]), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), lists], names=[f.name for f in schema]
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), lists], names=[f.name for f in schema]
                 )
 
     return slim.mapInArrow(run, schema)
@@ -147,10 +148,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return grams.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
 
 
-def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
-    """``id``, ``n`` (size of the set), ``component`` (smallest id reachable by links, itself included) and ``links`` (how many rows it links with)."""
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, fp, n, sig), and the sets (sig, links, copies, root, at): ``root`` names the component, ``at`` is the set's first row (nul, id, fp)."""
     rows = scratch(sketched(docs, id_col, text_col))
-    sets = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    sets = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("id").isNull().alias("nul"), "id", "fp")).alias("at"), F.count(F.lit(1)).alias("copies"))
     sets = scratch(sets.withColumn("k", F.xxhash64("sig")))
     left, shared = survivors(sets, percent)
     routes = shared.where(F.col("pos") < ROUTES).join(left, "k").select("t", "k")
@@ -159,14 +160,20 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PE
     small = small.mapInArrow(packed, "k bigint, sketch binary")
     edges = by_group(routes.join(small, "k"), ["t", "i", "j"], leaders, "a bigint, b bigint")
     worlds = scratch(components(edges).withColumnRenamed("node", "k"))
-    wanted = scratch(sets.join(worlds, "k").select("sig", "n", "id", "copies", "root"))
+    wanted = scratch(sets.join(worlds, "k").select("sig", "n", F.col("at.id").alias("id"), "copies", "root"))
     grams = whole_sets(docs, wanted, id_col, text_col)
     parts = blocked(wanted.drop("id"), "root", "sig", ELEMENTS, "n").select("root", "i", "j", "side", "sig", "copies")
     found = scratch(by_group(parts.join(grams, "sig"), ["root", "i", "j"], world(percent), "sig binary, first binary, links bigint"))
     linked = components(found.where("sig <> first").select("sig", "first"), "sig", "first")
     counts = found.groupBy("sig").agg(F.sum("links").alias("links"))
-    each = sets.select("sig", "id", "copies").join(counts, "sig", "left").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = each.groupBy("root").agg(F.min("id").alias("component"))
+    each = sets.select("sig", "at", "copies").join(counts, "sig", "left").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return rows.select("id", "fp", "n", "sig"), each
+
+
+def classes(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
+    """``id``, ``n`` (size of the set), ``component`` (smallest id reachable by links, itself included) and ``links`` (how many rows it links with)."""
+    rows, each = linked_sets(docs, id_col, text_col, percent)
+    least = each.groupBy("root").agg(F.min("at.id").alias("component"))
     each = each.join(least, "root").select("sig", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.select("id", "n", "sig").join(each, "sig", "left")
     alone = F.col("n") == 0
@@ -181,14 +188,15 @@ def packed(batches):
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that are linked, directly or not, with one of a smaller id; of rows with the same id and set one stays.
+    """The rows of ``docs`` without those that are linked, directly or not, with one of a smaller id; of linked rows with the same id one stays.
 
+    Representatives are chosen by (id, text hash), so rows that share an id, or have none, but don't link all stay.
     Texts without words are kept.
     """
-    found = classes(docs, id_col, text_col, percent)
-    keep = found.where((F.col("n") > 0) & F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    _, each = linked_sets(docs, id_col, text_col, percent)
+    keep = scratch(each.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.id").alias("ki"), F.col("at.fp").alias("kf")))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("fp"), (~F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).alias("bare"))
-    kept = marked.join(keep, marked["id"].eqNullSafe(keep["id"]), "left_semi").where("not bare").dropDuplicates(["id"])
+    kept = marked.where("not bare").join(keep, F.col("id").eqNullSafe(F.col("ki")) & (F.col("fp") == F.col("kf")), "left_semi").dropDuplicates(["id", "fp"])
     return kept.unionByName(marked.where("bare")).select("row.*")
 
 
