@@ -1,7 +1,9 @@
 """Cases that a cut would lose: what a review of the operators found missing."""
 
+import random
+
 from tests.llm import brute
-from weftgraph.llm import line_dedup, ngram_join
+from weftgraph.llm import licences, line_dedup, ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +29,26 @@ def test_rows_that_share_an_id_but_do_not_link_all_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()), key=str)
     assert got == sorted([(7, a), (8, b.upper()), (9, c), (9, "x y z"), (None, "p q r s t u"), (None, "v w")], key=str)
+
+
+def test_repeated_and_embedded_notices_match():
+    tool = licences.Scanner(licences.TEMPLATES)
+    notice = "Released under the MIT License."
+    for text in (" ".join([notice] * 6), " ".join([notice] * 20_000), "\n".join([" ".join([notice] * 6)] * 3), "some words before " * 9 + notice + " and many other words that follow it" * 9, "a b c d e f g released under\nthe mit license h i j k l m n"):
+        assert [f[0] for f in tool.scan(text)] == ["MIT"], text[:99]
+        assert tool.scan(text)[0][3] == 1 and tool.scan(text)[0][1] == 0
+    flat = "x y z " + " ".join(licences.TEMPLATES["MIT-full"].split()) + " u v w"
+    assert [(f[0], f[3]) for f in tool.scan(flat)] == [("MIT-full", 1.0)]
+
+
+def test_word_runs_equal_brute_force():
+    rnd = random.Random(5)
+    own = licences.TEMPLATES["CC-BY-4.0"]
+    tool = licences.Scanner({"x": own})
+    target = licences.bigrams(licences.words(own))
+    for _ in range(60):
+        text = "".join(w + rnd.choice("  \n") for _ in range(3) for w in [*rnd.choices("abc", k=rnd.randint(0, 3)), *[w for w in licences.words(own) if rnd.random() < 0.93]])
+        w = licences.words(text)
+        dice = [2 * len(g & target) / (len(g) + len(target)) for a in range(len(w)) for b in range(a + 2, len(w) + 1) if (g := licences.bigrams(w[a:b]))]
+        best = max(dice, default=0)
+        assert [f[3] for f in tool.scan(text)] == ([best] if best >= licences.THRESHOLD else [])

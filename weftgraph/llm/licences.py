@@ -1,9 +1,10 @@
 """License scans: normalised text against licence templates by the Dice coefficient of their word bigrams.
 
-What is compared are runs of whole lines, the whole text among them.  A template of b bigrams can reach the threshold t only
-with runs of t / (2 - t) * b to (2 - t) / t * b bigrams, and only if the text shares t / 2 * (b + the least size) of its
-bigrams with it.  Texts that share fewer, lines that share none as the first or last of a run, and runs of other sizes are not compared.
-A run also ends when, repeats counted, it has over four times the words of the largest one that can match.
+What is compared are all runs of words, wherever in a line they begin and end.  A template of b bigrams can reach the threshold t only
+with runs of t / (2 - t) * b to (2 - t) / t * b distinct bigrams, and only if the text shares t / 2 * (b + the least size) of its
+bigrams with it.  Templates of which a text shares fewer and runs of other sizes are not compared, nor runs that begin or end with a
+bigram that the template lacks, since they are better without it.  Distinct bigrams are met in the order of their next
+occurrence, so a repetition, however long, costs nothing.
 
 Cases: null, empty and wordless texts match nothing; ties go to the shorter run, then the earlier, and for a text's best licence to the first name; each of
 repeated rows gets the same result; other columns are ignored; texts are taken whole.
@@ -85,28 +86,35 @@ class Scanner:
         few = [k for k, n in enumerate(shared) if n and n >= self.need[k] - 1e-9]
         if not few:
             return []
-        lines = [words(x) for x in text.split("\n")]
-        found = []
-        for k in few:
-            own, best = self.sets[k], None
-            vocabulary = {w for b in own for w in b}
-            near = [i for i, x in enumerate(lines) if x and not vocabulary.isdisjoint(x)]
-            for a in near:
-                run: list[str] = []
-                seen: set[tuple[str, str]] = set()
-                long = 0
-                for b in range(a, len(lines)):
-                    seen |= bigrams(run[-1:] + lines[b])
-                    run, long = lines[b] or run, long + len(lines[b])
-                    if len(seen) > self.most[k] or long > 4 * self.most[k] + 4:
+        ws, at = [], []  # all words, and their lines
+        for i, x in enumerate(text.split("\n")):
+            own = words(x)
+            ws += own
+            at += [i] * len(own)
+        best: dict[int, tuple] = {}
+        following: dict[tuple[str, str], int] = {}  # each bigram's next occurrence, the nearest last
+        for i in range(len(ws) - 2, -1, -1):
+            g = (ws[i], ws[i + 1])
+            following.pop(g, None)
+            following[g] = i
+            for k in self.index.get(g, ()):
+                if k not in few:
+                    continue
+                own, most, least, common = self.sets[k], self.most[k], self.least[k], 0
+                for n, (x, j) in enumerate(reversed(following.items()), 1):
+                    if n > most + 1e-9:
                         break
-                    if len(seen) >= self.least[k] and lines[b]:
-                        dice = 2 * len(seen & own) / (len(seen) + len(own))
-                        if dice >= self.t and (best is None or (dice, a - b, -a) > best[0]):
-                            best = ((dice, a - b, -a), (self.names[k], a, b, dice))
-            if best:
-                found.append(best[1])
-        return found
+                    if x not in own:
+                        continue
+                    common += 1
+                    if n < least - 1e-9:
+                        continue
+                    dice = 2 * common / (n + len(own))
+                    if dice >= self.t:
+                        first, last = at[i], at[j + 1]
+                        if k not in best or (dice, first - last, -first) > best[k][0]:
+                            best[k] = ((dice, first - last, -first), (self.names[k], first, last, dice))
+        return [best[k][1] for k in few if k in best]
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
