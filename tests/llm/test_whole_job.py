@@ -1,9 +1,10 @@
 """Cases that a cut would lose: what a review of the operators found missing."""
 
 import random
+import zlib
 
 from tests.llm import brute
-from weftgraph.llm import licences, line_dedup, ngram_join
+from weftgraph.llm import licences, line_dedup, ngram_join, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,21 @@ def test_word_runs_equal_brute_force():
         dice = [2 * len(g & target) / (len(g) + len(target)) for a in range(len(w)) for b in range(a + 2, len(w) + 1) if (g := licences.bigrams(w[a:b]))]
         best = max(dice, default=0)
         assert [f[3] for f in tool.scan(text)] == ([best] if best >= licences.THRESHOLD else [])
+
+
+def test_sharding_reports_the_files_that_were_written(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    written, real = [], sharding.rewrite
+
+    def rewrite(found, path, *args, **options):
+        written.append((path, real(found, path, *args, **options)))
+        return written[-1][1]
+
+    monkeypatch.setattr(sharding, "rewrite", rewrite)
+    got = {(r["doc_id"], r["shard"], r["size"], r["text_crc32"]) for r in sharding.digest(docs).collect()}
+    ((path, changed),) = written
+    files = spark.read.parquet(path).select("row.*", "shard").collect()
+    assert changed and got == {(r["doc_id"], r["shard"], len(r["text"].encode()) + 8, zlib.crc32(r["text"].encode())) for r in files}
+    assert sorted(tuple(r)[:-1] for r in files) == sorted(map(tuple, docs.collect()))
+    planned = {(r["id"], r["shard"]) for r in sharding.plan(docs).collect()}
+    assert {x[:2] for x in got} == planned

@@ -12,11 +12,13 @@ equal texts need not meet in a shard; other columns are ignored, or rewritten un
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket_of, running, scratch
+from .common import bucket_of, running, scratch, shared_dir
 
 OLD, NEW = 16, 24
 
@@ -140,11 +142,33 @@ def rewrite(docs: DataFrame, path: str, id_col="doc_id", text_col="text", old_co
         fresh.repartition(F.col(old_col), bucket_of(F.xxhash64(F.col(f"`{id_col}`")), 3)).write.mode("overwrite").partitionBy(old_col).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", was)
+    for x in set(changed) - {r["shard"] for r in moves.select("shard").distinct().collect()}:  # nothing was written over a shard that is empty now
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old_col}={x}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return changed
 
 
-def digest(docs: DataFrame, **options) -> DataFrame:
-    """The contract's columns, one row for each row of ``docs``."""
-    return plan(docs, **options).select(
-        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+def rewritten(docs: DataFrame, id_col="doc_id", text_col="text", old: int = OLD, new: int = NEW) -> DataFrame:
+    """``docs`` laid out in the shared folder as its old shards, brought to the new layout by ``rewrite``, and read back:
+    ``row`` (the input's columns), ``old_shard`` and ``shard``, the folder that the row was read from."""
+    path = f"{shared_dir(docs.sparkSession)}/weftgraph-{uuid.uuid4().hex}"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    was = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(1)), F.lit(old)).cast("int")
+    laid = docs.select(row, was.alias("old_shard"), was.alias("shard"))
+    laid.write.partitionBy("shard").parquet(path)
+    read = lambda: docs.sparkSession.read.schema(laid.schema).parquet(path)
+    rewrite(read(), path, f"row`.`{id_col}", f"row`.`{text_col}", old=old, new=new)
+    return read()
+
+
+def digest(docs: DataFrame, old: int = OLD, new: int = NEW, bits: int = 10) -> DataFrame:
+    """The contract's columns, one row for each row of ``docs``, from the files after the rewrite."""
+    found = rewritten(docs, old=old, new=new)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = found.select(F.col("row.doc_id").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("fp"), "old_shard", "shard")
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
+    rows = scratch(rows.select("*", F.xxhash64("id", "fp", "nth").alias("h"), F.lit(1).cast("long").alias("one")))
+    return running(rows, ["shard"], "h", ["id", "fp", "nth"], "one", bits).select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("before").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
