@@ -273,23 +273,57 @@ def test_nbest_equals_enumeration():
     tool = pieces.Pieces(vocabulary, 100, {k: w.replace("▁", " ").encode() for w, (k, _) in vocabulary.items()} | {100 + b: bytes([b]) for b in range(256)})
 
     def every(text):
+        """(score, ids) of all segmentations."""
         if not text:
-            return [0]
+            return [(0, ())]
         out = []
         for j in range(1, len(text) + 1):
             if text[:j] in vocabulary:
-                out += [vocabulary[text[:j]][1] + s for s in every(text[j:])]
+                k, s = vocabulary[text[:j]]
+                out += [(s + t, (k, *ids)) for t, ids in every(text[j:])]
         if text[0] not in vocabulary:
-            out += [tool.lowest + s for s in every(text[1:])]
+            out += [(tool.lowest + t, (*(100 + b for b in text[0].encode()), *ids)) for t, ids in every(text[1:])]
         return out
 
     for _ in range(60):
         text = "".join(rnd.choices(alphabet + " c", k=rnd.randint(1, 9)))
-        want = sorted(every("▁" + text.replace(" ", "▁")), reverse=True)
+        all_ways = every("▁" + text.replace(" ", "▁"))
         for n in (1, 2, 3, 5):
-            ids, scores = tool.encode(text, n)
-            assert scores == want[:n], (text, n)
-        assert tool.decode(np.frombuffer(ids, "<i4").tolist()).decode() == text
+            raw, scores, others = tool.encode(text, n)
+            ids = np.frombuffer(raw, "<i4").tolist()
+            assert scores == sorted((s for s, _ in all_ways), reverse=True)[:n], (text, n)
+            ways = [tuple(ids)]
+            for changes in others:
+                new = list(ids)
+                for at, m, put in changes:
+                    new[at : at + m] = put
+                ways.append(tuple(new))
+            assert len(set(ways)) == len(ways) and all((s, w) in all_ways for s, w in zip(scores, ways, strict=True)), (text, n)
+        assert tool.decode(ids).decode() == text
+
+
+def test_segmentations_are_written_out(spark):
+    texts = ["Hello there, this is it", "", None, "x ▁ 🎉"]
+    coded = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), n=4)
+    tool = pieces.Pieces.load()
+    for r in coded.select("*", pieces.segmentations().alias("all")).collect():
+        if texts[r["doc_id"]] is None:
+            assert r["all"] is None and r["others"] is None
+            continue
+        assert len({tuple(x) for x in r["all"]}) == len(r["all"]) == len(r["scores"]) and r["all"][0] == r["ids"]
+        assert all(tool.decode(x).decode() == texts[r["doc_id"]] for x in r["all"])
+
+
+def test_memory_of_segments_is_bounded_and_changes_nothing():
+    tool = pieces.Pieces.load()
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdef", k=rnd.randint(1, 90))) for _ in range(40)) for _ in range(30)]
+    want = [tool.encode(t, 3) for t in texts]
+    tool.memory = pieces.Memory(tool.two, 40_000)
+    assert [tool.encode(t, 3) for t in texts] == want
+    assert len(tool.memory) + len(tool.memory.older) <= 40_000 // pieces.ENTRY + 2 and max(map(len, tool.memory)) <= pieces.LONG
+    long = "ab" * 100_000
+    assert tool.decode(np.frombuffer(tool.encode(long, 3)[0], "<i4").tolist()).decode() == long
 
 
 def test_decoding_gives_every_text_back(spark, docs):
