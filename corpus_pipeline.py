@@ -34,9 +34,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, the scores of its best segmentations, and whether decoding gives its text."""
+    """Piece ids of each document, its other best segmentations as changes of these, the scores of all, and whether decoding gives its text."""
     coded = pieces.encode(docs)
-    return coded.select("doc_id", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_pieces"), "scores", "text_ok")
+    return coded.select("doc_id", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_pieces"), "scores", "others", "text_ok")
 
 
 STAGES = [
