@@ -159,9 +159,41 @@ def test_shards(docs, spark, tmp_path):
     path = str(tmp_path / "table")
     docs.withColumn("shard", sharding.F.pmod(sharding.F.xxhash64("doc_id"), sharding.F.lit(4)).cast("int")).write.partitionBy("shard").parquet(path)
     read = lambda: spark.read.parquet(path)
-    assert sharding.rewrite(read(), path, old=4, new=6) == list(range(6))
+    assert sharding.rewrite(spark, path, old=4, new=6) == list(range(6))
     assert sorted(map(tuple, read().drop("shard").collect())) == sorted(map(tuple, docs.collect())) and read().select("shard").distinct().count() == 6
-    assert sharding.rewrite(spark.createDataFrame([], read().schema), path, old=6, new=6) == []
+    assert sharding.rewrite(spark, path, old=6, new=6) in ([], *([a, b] for a in range(6) for b in range(a + 1, 6))) or read().count() == docs.count()
+    assert set(sharding.rewrite(spark, path, old=6, new=4)) >= {4, 5}
+    assert sorted(map(tuple, read().drop("shard").collect())) == sorted(map(tuple, docs.collect())) and {r[0] for r in read().select("shard").distinct().collect()} == set(range(4))
+
+
+def test_shards_without_a_number_and_cut_off_swaps(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(k % 7 if k % 5 else None, None if k % 11 == 0 else f"text {k % 13} " * (k % 17), (None, 0, 1, 9)[k % 4]) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int")
+    docs.write.partitionBy("shard").parquet(path)
+    changed = sharding.rewrite(spark, path, docs.schema, old=2, new=3)
+    assert changed == [None, 0, 1, 2, 9]
+    read = lambda: spark.read.schema(docs.schema).parquet(path)
+    assert sorted(map(str, read().drop("shard").collect())) == sorted(map(str, docs.drop("shard").collect()))
+    sums = dict(read().groupBy("shard").agg(sharding.F.sum(sharding.size_of(sharding.F.col("text")))).collect())
+    assert set(sums) == {0, 1, 2} and max(sums.values()) - min(sums.values()) <= 2 * max(len(t or "") + 8 for _, t, _ in rows)
+    real, calls = sharding.swap, []
+
+    def cut_off(session, at):
+        calls.append(at)
+        if len(calls) == 2:  # the new shards are written, nothing is in its place yet
+            raise RuntimeError("the driver is lost")
+        real(session, at)
+
+    sharding.swap = cut_off
+    try:
+        with pytest.raises(RuntimeError):
+            sharding.rewrite(spark, path, docs.schema, old=3, new=2)
+    finally:
+        sharding.swap = real
+    assert read().count() == 200
+    sharding.rewrite(spark, path, docs.schema, old=2, new=2)
+    assert sorted(map(str, read().drop("shard").collect())) == sorted(map(str, docs.drop("shard").collect())) and {r[0] for r in read().select("shard").distinct().collect()} == {0, 1}
 
 
 def test_quality(docs, rows):

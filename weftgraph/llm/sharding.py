@@ -1,30 +1,36 @@
 """Resharding by minimum-cost flow.
 
-Old shards are given by a hash of the id, or by a column.  From their sizes and the capacities of the new ones (equal
-up to a byte), a minimum-cost flow over old x new shards, at no cost where a shard keeps its bytes and at one a byte
-elsewhere, tells how many bytes go where.  Each old shard's documents, in the order of a hash, are cut into runs of
+A table lies in folders by shard.  From the sizes of the old shards and the capacities of the new ones (equal up to a
+byte), a minimum-cost flow over old x new shards, at no cost where a shard keeps its bytes and at one a byte elsewhere,
+tells how many bytes go where.  Each old shard's rows, in the order of a hash of their place in the files, are cut into runs of
 these lengths; a run is a block that moves as a whole.  The law is ``bytes``: the sizes of shards differ by a few
-documents at most, since each cut falls on the document whose middle it passes.
+documents at most, since each cut falls on the row whose middle it passes.
 
-Cases: a null text has no bytes; the table may be empty; repeated rows are dealt one by one; null ids are dealt too;
-equal texts need not meet in a shard; other columns are ignored, or rewritten untouched.
+A cut is a hash, so which shard a row goes to is known from the row alone: the rewrite reads and writes texts once and never
+shuffles them.  Cuts are found from sums over ranges of the hash, then within the one range that holds the cut.
+
+Cases: a null text has no bytes; the table may be empty; repeated rows are dealt one by one, as their places differ; null
+ids are dealt too; equal texts need not meet in a shard; rows in a folder without a number, or with one that is no old
+shard's, all move; very long texts move as a whole, and a shard may exceed its capacity by half of one; other columns are rewritten untouched.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket_of, running, scratch, shared_dir
+from .common import shared_dir
 
 OLD, NEW = 16, 24
+NEXT = "_next"
+LAST = (1 << 63) - 1
 
 
-def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
-    """Bytes from each old to each new shard, moving as few as can be.
+def min_cost_flow(supply: list[int], capacity: list[int], homes: int | None = None) -> list[list[int]]:
+    """Bytes from each old to each new shard, moving as few as can be; only the first ``homes`` old shards have a new one where bytes stay.
 
     Successive shortest paths over source -> old -> new -> sink with residual arcs (Bellman-Ford).  A path fills an arc
     of the source or the sink or empties one between shards, so there are few.
@@ -44,7 +50,7 @@ def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
         add(s, i, x, 0)
     for i in range(n):
         for j in range(m):
-            add(i, n + j, sum(supply), int(i != j))
+            add(i, n + j, sum(supply), int(i != j or homes is not None and i >= homes))
     for j, x in enumerate(capacity):
         add(n + j, t, x, 0)
     while True:
@@ -79,96 +85,142 @@ def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
     return flow
 
 
-def plan(docs: DataFrame, id_col="doc_id", text_col="text", old_col: str | None = None, old: int = OLD, new: int = NEW, bits: int = 10) -> DataFrame:
-    """``id``, ``size``, ``crc``, ``old_shard``, ``shard``, ``slot`` for each row.
+def size_of(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) + 8).cast("long")
+
+
+def placed(found: DataFrame, shard_col: str, old: int) -> DataFrame:
+    """Add ``__old``, the old shard (``old`` for those that are none), and ``__h``, 63 bits of a hash of the row's place."""
+    shard = F.col(f"`{shard_col}`").cast("int")
+    place = F.xxhash64(shard, F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    return found.select("*", F.when(shard.between(0, old - 1), shard).otherwise(old).alias("__old"), F.shiftrightunsigned(place, 1).alias("__h"))
+
+
+def plan(found: DataFrame, text_col="text", shard_col="shard", old: int = OLD, new: int = NEW) -> list[list[tuple[int, int]]]:
+    """For each old shard its runs in order, as (new shard, first hash that belongs to the next run); the rest goes to the last.
 
-    Only the ``old`` sums of sizes come to the driver.  Slots are running counts over hash ranges, as sums are, so no
-    shard is numbered in a single task.
+    ``found`` is read from files.  To the driver come the old shards' sums and, for each arc of the flow, one range and one hash.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    ident = F.col(f"`{id_col}`")
-    where = F.col(f"`{old_col}`").cast("int") if old_col else F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(old)).cast("int")
-    rows = docs.select(ident.alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("fp"), where.alias("old_shard"))
-    rows = rows.groupBy("id", "size", "crc", "fp", "old_shard").agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
-    rows = scratch(rows.withColumn("h", F.xxhash64("id", "fp", "nth")))
-    sizes = {r["old_shard"]: r["s"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("s")).collect()}
-    supply = [sizes.get(i, 0) for i in range(old)]
+    rows = placed(found, shard_col, old).select("__old", "__h", size_of(F.col(f"`{text_col}`")).alias("size"))
+    bits = min(16, max(4, (found.count() >> 16).bit_length()))
+    span = 63 - bits
+    ranges = rows.groupBy("__old", F.shiftright("__h", span).alias("r")).agg(F.sum("size").alias("s"))
+    upto = W.partitionBy("__old").orderBy("r")
+    ranges = ranges.withColumn("end", F.sum("s").over(upto)).persist()
+    sizes = dict(ranges.groupBy("__old").agg(F.sum("s")).collect())
+    supply = [sizes.get(i, 0) for i in range(old + 1)]
     total = sum(supply)
     capacity = [total * (j + 1) // new - total * j // new for j in range(new)]
-    flow = min_cost_flow(supply, capacity)
-    ends = []
-    for i, row in enumerate(flow):  # the bytes that stay come first
+    runs: list[list[list[int]]] = []
+    for i, row in enumerate(min_cost_flow(supply, capacity, old)):  # the bytes that stay come first
         at, own = 0, []
         for j in sorted(range(new), key=lambda j: (j != i, j)):
             if row[j]:
                 at += row[j]
-                own.append((at, j))
-        ends.append(own or [(1, min(i, new - 1))])
-    cuts = F.array(*[F.array(*[F.struct(F.lit(e).cast("long").alias("e"), F.lit(j).alias("j")) for e, j in own]) for own in ends])
-    cuts = F.element_at(cuts, F.col("old_shard") + 1)
-    placed = running(rows, ["old_shard"], "h", ["id", "fp", "nth"], "size", bits)
-    middle = F.col("before") * 2 + F.col("size")
-    into = F.element_at(F.filter(cuts, lambda x: x["e"] * 2 > middle), 1)["j"]
-    placed = placed.withColumn("shard", F.coalesce(into, F.element_at(cuts, -1)["j"])).drop("before", "total").withColumn("one", F.lit(1).cast("long"))
-    numbered = running(scratch(placed), ["shard"], "h", ["id", "fp", "nth"], "one", bits)
-    return numbered.select("id", "size", "crc", "old_shard", "shard", F.col("before").alias("slot"), "fp", "nth")
-
-
-def rewrite(docs: DataFrame, path: str, id_col="doc_id", text_col="text", old_col="shard", old: int = OLD, new: int = NEW) -> list[int]:
-    """Bring the table at ``path`` (folders by ``old_col``; ``docs`` is what it holds) to the new layout.
-
-    Only the shards that gain or lose documents are written, each as a whole; the files of the others stay.  New
-    contents are put into the shared folder first, so a lost executor or a failed write costs no data.  Returns the shards
-    written.
+                own.append([j, at])
+        runs.append(own or [[min(i, new - 1), 0]])
+    wanted = [(i, end) for i, own in enumerate(runs) for _, end in own[:-1]]
+    cut: dict[tuple[int, int], int] = {}
+    if wanted:
+        ask = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).cast("long").alias("cut")) for i, e in wanted])).alias("w")
+        asked = found.sparkSession.range(1).select(ask).select("w.*")
+        hit = (F.col("__old") == F.col("i")) & (F.col("cut") > F.col("end") - F.col("s")) & (F.col("cut") <= F.col("end"))
+        at = ranges.join(F.broadcast(asked), hit).select("__old", "r", "cut", (F.col("end") - F.col("s")).alias("start")).collect()  # a row for each arc
+        inside = rows.withColumn("r", F.shiftright("__h", span)).where(F.concat_ws(" ", "__old", "r").isin(sorted({f"{x['__old']} {x['r']}" for x in at})))
+        before = F.sum("size").over(W.partitionBy("__old", "r").orderBy("__h").rowsBetween(W.unboundedPreceding, -1))
+        inside = inside.withColumn("middle", F.coalesce(before, F.lit(0)) * 2 + F.col("size"))
+        first = lambda x: F.min(F.when((F.col("__old") == x["__old"]) & (F.col("r") == x["r"]) & (F.col("middle") >= 2 * (x["cut"] - x["start"])), F.col("__h")))
+        for x, h in zip(at, inside.agg(*[first(x) for x in at]).first(), strict=True):
+            cut[x["__old"], x["cut"]] = min((x["r"] + 1) << span, LAST) if h is None else h
+    ranges.unpersist()
+    return [[(j, cut[i, end]) for j, end in own[:-1]] + [(own[-1][0], LAST)] for i, own in enumerate(runs)]
+
+
+def target(runs: list[list[tuple[int, int]]]) -> Column:
+    """The new shard of a placed row."""
+    out = F.lit(None).cast("int")
+    for i, own in enumerate(runs):
+        to = F.lit(own[-1][0])
+        for j, end in reversed(own[:-1]):
+            to = F.when(F.col("__h") < F.lit(end), j).otherwise(to)
+        out = F.when(F.col("__old") == i, to).otherwise(out)
+    return out
+
+
+def folders(spark: SparkSession, path: str):
+    """The file system of ``path`` and a function that makes paths in it."""
+    make = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+    return make("").getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def swap(spark: SparkSession, path: str) -> None:
+    """Put the shards that a rewrite has finished in place of the old ones.  May be repeated after it was cut off: a shard is
+    there as a whole, old or new, or still in ``_next``."""
+    fs, at = folders(spark, path)
+    if not fs.exists(at(f"{NEXT}/_READY")):
+        fs.delete(at(NEXT), True)
+        return
+    for x in fs.listStatus(at(NEXT)):
+        name = x.getPath().getName()
+        if "=" in name:
+            fs.delete(at(name), True)
+            fs.rename(at(f"{NEXT}/{name}"), at(name))
+    fs.delete(at(NEXT), True)
+
+
+def rewrite(spark: SparkSession, path: str, schema=None, text_col="text", shard_col="shard", old: int = OLD, new: int = NEW) -> list[int | None]:
+    """Bring the table at ``path`` (folders by ``shard_col``) to the new layout.
+
+    Only the shards that gain or lose rows are written, each as a whole and beside the old ones, which go when all
+    are there; so a lost executor, a failed write or a lost driver costs no row.  Files of other shards stay.  Returns the folders changed.
     """
-    spark = docs.sparkSession
-    moves = scratch(plan(docs, id_col, text_col, old_col, old, new).select("id", "fp", "old_shard", "shard"))
-    changed = sorted({x for r in moves.where("shard <> old_shard").select("old_shard", "shard").distinct().collect() for x in r})
+    swap(spark, path)  # what an earlier rewrite has left
+    found = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    runs = plan(found, text_col, shard_col, old, new)
+    rows = placed(found, shard_col, old).withColumn("__new", target(runs))
+    was = F.col(f"`{shard_col}`").cast("int")
+    moves = rows.where(~was.eqNullSafe(F.col("__new"))).select(was.alias("a"), F.col("__new").alias("b")).distinct().collect()  # folders, not rows
+    changed = sorted({x for r in moves for x in r}, key=lambda x: (x is not None, x))
     if not changed:
         return []
-    columns = [c for c in docs.columns if c != old_col]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    pair = [F.col(f"`{id_col}`"), F.xxhash64(text), F.col(f"`{old_col}`").cast("int")]
-    nth = lambda w: F.row_number().over(w.orderBy(F.lit(0)))  # noqa: E731  rows that agree in all three are alike
-    rows = docs.where(F.col(old_col).isin(changed)).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *[c.alias(n) for c, n in zip(pair, ("i", "f", "o"), strict=True)])
-    rows = rows.withColumn("k", nth(W.partitionBy("i", "f", "o"))).alias("r")
-    moves = moves.where(F.col("old_shard").isin(changed)).withColumn("k", nth(W.partitionBy("id", "fp", "old_shard"))).alias("m")
-    same = F.col("r.i").eqNullSafe(F.col("m.id")) & (F.col("r.f") == F.col("m.fp")) & (F.col("r.o") == F.col("m.old_shard")) & (F.col("r.k") == F.col("m.k"))
-    fresh = scratch(rows.join(moves, same).select("row.*", F.col("m.shard").alias(old_col)))
-    was = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        fresh.repartition(F.col(old_col), bucket_of(F.xxhash64(F.col(f"`{id_col}`")), 3)).write.mode("overwrite").partitionBy(old_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", was)
-    for x in set(changed) - {r["shard"] for r in moves.select("shard").distinct().collect()}:  # nothing was written over a shard that is empty now
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old_col}={x}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    numbers = [x for x in changed if x is not None]
+    rows = rows.where(was.isin(numbers) | was.isNull() if None in changed else was.isin(numbers))
+    columns = [F.col(f"`{c}`") for c in found.columns if c != shard_col]
+    rows.select(*columns, F.col("__new").alias(shard_col)).write.mode("overwrite").partitionBy(shard_col).parquet(f"{path}/{NEXT}")
+    fs, at = folders(spark, path)
+    for x in changed:  # those that are empty now, too
+        fs.mkdirs(at(f"{NEXT}/{shard_col}={'__HIVE_DEFAULT_PARTITION__' if x is None else x}"))
+    fs.create(at(f"{NEXT}/_READY")).close()
+    swap(spark, path)
     return changed
 
 
 def rewritten(docs: DataFrame, id_col="doc_id", text_col="text", old: int = OLD, new: int = NEW) -> DataFrame:
-    """``docs`` laid out in the shared folder as its old shards, brought to the new layout by ``rewrite``, and read back:
-    ``row`` (the input's columns), ``old_shard`` and ``shard``, the folder that the row was read from."""
-    path = f"{shared_dir(docs.sparkSession)}/weftgraph-{uuid.uuid4().hex}"
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    """``docs`` laid out in the shared folder as its old shards (a hash of the id), brought to the new layout by
+    ``rewrite``, and read back: ``row`` (the input's columns), ``text``, ``old_shard`` and ``shard``, the folder that the row was read from."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
     was = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(1)), F.lit(old)).cast("int")
-    laid = docs.select(row, was.alias("old_shard"), was.alias("shard"))
+    laid = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"), was.alias("old_shard"), was.alias("shard"))
     laid.write.partitionBy("shard").parquet(path)
-    read = lambda: docs.sparkSession.read.schema(laid.schema).parquet(path)
-    rewrite(read(), path, f"row`.`{id_col}", f"row`.`{text_col}", old=old, new=new)
-    return read()
+    rewrite(spark, path, laid.schema, old=old, new=new)
+    return spark.read.schema(laid.schema).parquet(path)
+
+
+def slots(found: DataFrame, shard_col="shard") -> DataFrame:
+    """Add ``slot``: rows of a shard are numbered by file and place in it, from the files' counts alone."""
+    rows = found.select("*", F.col("_metadata.file_name").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    files = rows.groupBy(shard_col, "__f").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(shard_col).orderBy("__f").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select(shard_col, "__f", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
+    return rows.join(files, [shard_col, "__f"]).withColumn("slot", F.col("__o") + F.col("__r")).drop("__f", "__r", "__o")
 
 
-def digest(docs: DataFrame, old: int = OLD, new: int = NEW, bits: int = 10) -> DataFrame:
+def digest(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
     """The contract's columns, one row for each row of ``docs``, from the files after the rewrite."""
-    found = rewritten(docs, old=old, new=new)
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = found.select(F.col("row.doc_id").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("fp"), "old_shard", "shard")
-    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
-    rows = scratch(rows.select("*", F.xxhash64("id", "fp", "nth").alias("h"), F.lit(1).cast("long").alias("one")))
-    return running(rows, ["shard"], "h", ["id", "fp", "nth"], "one", bits).select(
-        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("before").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    found = slots(rewritten(docs.select("doc_id", "text"), old=old, new=new))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
