@@ -208,19 +208,18 @@ def rewritten(docs: DataFrame, id_col="doc_id", text_col="text", old: int = OLD,
     return spark.read.schema(laid.schema).parquet(path)
 
 
-def slots(found: DataFrame, shard_col="shard") -> DataFrame:
-    """Add ``slot``: rows of a shard are numbered by file and place in it, from the files' counts alone."""
-    rows = found.select("*", F.col("_metadata.file_name").alias("__f"), F.col("_metadata.row_index").alias("__r"))
-    files = rows.groupBy(shard_col, "__f").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = W.partitionBy(shard_col).orderBy("__f").rowsBetween(W.unboundedPreceding, -1)
-    files = files.select(shard_col, "__f", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
-    return rows.join(files, [shard_col, "__f"]).withColumn("slot", F.col("__o") + F.col("__r")).drop("__f", "__r", "__o")
+def slots(found: DataFrame, *columns: Column, shard_col="shard") -> DataFrame:
+    """``columns``, the shard and ``slot``: rows of a shard are numbered by file and place in it, from the files' counts alone."""
+    rows = found.select(*columns, F.col(shard_col).cast("int").alias("shard"), F.col("_metadata.file_name").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    files = rows.groupBy("shard", "__f").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy("shard").orderBy("__f").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select("shard", "__f", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
+    return rows.join(files, ["shard", "__f"]).withColumn("slot", F.col("__o") + F.col("__r")).drop("__f", "__r", "__o")
 
 
 def digest(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """The contract's columns, one row for each row of ``docs``, from the files after the rewrite."""
-    found = slots(rewritten(docs.select("doc_id", "text"), old=old, new=new))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return found.select(
-        F.col("row.doc_id").alias("doc_id"), size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
-    )
+    """The contract's columns, one row for each row of ``docs``, from the files after the rewrite; texts stay out of the join that numbers the rows."""
+    found = rewritten(docs.select("doc_id", "text"), old=old, new=new)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = slots(found, F.col("row.doc_id").alias("doc_id"), size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.col("old_shard"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
