@@ -42,17 +42,17 @@ def linked(sets, percent):
 
 
 def normal_line(line):
-    return bytes(b + 32 if 65 <= b <= 90 else b for b in line.encode() if b >= 128 or chr(b).isalnum())
+    return "".join(c for c in line.lower() if c.isalnum())
 
 
-def lines_gone(docs, percent=80, least=16):
+def lines_gone(docs, percent=80):
     """{(id, text): line numbers that go}; documents are (id, text), repeated ones count once."""
     items = [(d, n, normal_line(x)) for d in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0, fingerprint(d[1]))) for n, x in enumerate(d[1].split("\n"))]
-    items = [x for x in items if len(x[2]) >= least]
+    items = [x for x in items if x[2]]
     forms = {}
     for x in items:
         forms.setdefault(x[2], len(forms))
-    label, _ = linked([frozenset(b[i : i + 8] for i in range(len(b) - 7)) for b in forms], percent)
+    label, _ = linked([frozenset(b[i : i + 5] for i in range(len(b) - 4)) for b in forms], percent)
     seen, gone = set(), defaultdict(set)
     for d, n, form in items:
         root = label[forms[form]]

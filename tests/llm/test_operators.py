@@ -94,10 +94,10 @@ def test_line_dedup_equals_brute_force(docs, rows, monkeypatch):
     for i, t, _ in rows:
         left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t])
         want[i] = (len(t.split("\n")), len(gone[i, t]), len(left))
-    assert {r["doc_id"]: tuple(r)[1:4] for r in line_dedup.digest(docs).collect()} == want
+    got = {r["doc_id"]: tuple(r)[1:4] for r in line_dedup.digest(docs).collect()}
+    assert got == want
     monkeypatch.setattr(line_dedup, "HELD", 50)
     monkeypatch.setattr(line_dedup, "ELEMENTS", 300)
-    monkeypatch.setattr(line_dedup, "FEW", 0)
     assert {r["doc_id"]: tuple(r)[1:4] for r in line_dedup.digest(docs).collect()} == want
 
 

@@ -3,19 +3,78 @@
 import random
 import zlib
 
+import numpy as np
+
 from tests.llm import brute
 from weftgraph.llm import licences, line_dedup, ngram_join, sharding
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_short_lines_are_deduplicated(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    gone = brute.lines_gone(rows, least=1)
-    assert sum(map(len, gone.values())) > sum(map(len, brute.lines_gone(rows).values()))
-    got = {r["doc_id"]: (r["n_dropped"], r["n_chars_left"]) for r in line_dedup.digest(docs).collect()}
-    assert got == {i: (len(gone[i, t]), len("\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i, t]))) for i, t in rows}
+def test_one_row_of_repeated_ones_keeps_the_line(spark, tmp_path):
+    """Rows without an id, and rows that agree in everything."""
+    line, other = "a line that is long enough to be told from others", "there is another line in here, too"
+    rows = [(None, line), (None, line), (7, other + "\n" + line), (7, other + "\n" + line), (7, other + "\n***"), (3, "***"), (3, "***"), (None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    got = line_dedup.without_copies(spark.read.parquet(str(tmp_path / "t"))).collect()
+    texts = [x for r in got if r["text"] is not None for x in r["text"].split("\n")]
+    assert sorted(x for x in texts if x != "***") == [line, other] and sum(r["text"] is None for r in got) == 1 and sum(r["doc_id"] == 3 for r in got) == 2
+    assert [r["doc_id"] for r in got if line in (r["text"] or "")] == [None]
+
+
+def test_bands_with_several_groups_lose_no_pair(spark, monkeypatch):
+    """Chains of lines whose ends are unlike; with every line in every band, all pairs have to be found."""
+    monkeypatch.setattr(line_dedup, "band_keys", lambda form, a, b: np.zeros((len(a), line_dedup.BANDS), np.uint64) + np.arange(line_dedup.BANDS, dtype=np.uint64))
+    rnd, rows = random.Random(6), []
+    for chain in range(12):
+        words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(rnd.randint(4, 16))]
+        for k in range(rnd.randint(2, 9)):
+            words[rnd.randrange(len(words))] = "".join(rnd.choices("abcdefghijklmnop", k=6))
+            rows.append((100 * chain + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    gone = brute.lines_gone(rows)
+    want = {r[0]: len(gone[r]) for r in rows}
+    assert 10 < sum(want.values()) < len(rows) - 12
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.digest(docs).collect()} == want
+    monkeypatch.setattr(line_dedup, "ELEMENTS", 400)
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.digest(docs).collect()} == want
+
+
+def test_bands_find_nearly_all_pairs():
+    """Made pairs of lines at 0.8 to 0.9 and at 0.9 or more, by length."""
+    rnd, met, all_pairs = random.Random(7), {0.8: 0, 0.9: 0}, {0.8: 0, 0.9: 0}
+    for _ in range(3000):
+        x = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzéß日", k=rnd.randint(20, 300)))
+        y = list(x)
+        for _ in range(rnd.randint(1, 4)):
+            y[rnd.randrange(len(y))] = rnd.choice("abcdef")
+        y = "".join(y)
+        a, b = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (x, y))
+        share = len(a & b) / len(a | b)
+        if share < 0.8 or x == y:
+            continue
+        form, at, _ = line_dedup.normal_lines([x, y])
+        keys = line_dedup.band_keys(form, at[:-1], at[1:])
+        level = 0.9 if share >= 0.9 else 0.8
+        all_pairs[level] += 1
+        met[level] += bool((keys[0] == keys[1]).any())
+        assert line_dedup.alike([x.encode()], [y.encode()], 80).tolist() == [True]
+    assert min(all_pairs.values()) > 300 and met[0.8] > 0.99 * all_pairs[0.8] and met[0.9] > 0.998 * all_pairs[0.9]
+
+
+def test_near_copies_of_a_line_are_compared_a_few_times_each(spark, monkeypatch):
+    """Twice the copies, about twice the comparisons."""
+    base = "this is a notice that all pages of the site show at their very end and that hardly differs, printed on page"
+
+    def pairs(n):
+        docs = spark.createDataFrame([(k, f"{base} {k}") for k in range(n)], "doc_id bigint, text string").repartition(4)
+        lines = line_dedup.scanned(docs, "doc_id", "text").where("kind = 1").select("band", "k")
+        star = lines.repartition("band").sortWithinPartitions("band", "k").mapInArrow(line_dedup.stars, "band bigint, k bigint, pivot bigint")
+        assert line_dedup.digest(docs).where("n_dropped = 0").count() == 1
+        return star.select("k", "pivot").distinct().count()
+
+    few, many = pairs(300), pairs(1200)
+    assert many <= 4.5 * few and many <= 10 * 1200
 
 
 def test_copies_with_short_lines_go(spark):

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A word is a longest run of characters other than space and U+0009 to U+000D.
-SPACE = r"[\x20\x09-\x0D]"
-
+from ..operators.components import removed, shared_dir
+from ..operators.components import written as scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["SPACE", "bucket_of", "n_words", "removed", "running", "scratch", "shared_dir", "words_of"]
 
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later stages neither recompute it nor need its executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a longest run of characters other than space and U+0009 to U+000D.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def n_words(text: Column) -> Column:

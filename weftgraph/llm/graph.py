@@ -9,32 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from ..operators.components import labels
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): every node of an edge with the smallest node that it is connected with.
-
-    Alternating large-star and small-star steps (Kiveris and others, 2014); each reads and writes tables in the shared
-    folder.  A node's least neighbour is a pre-aggregated minimum, and a node with very many edges is dealt out by
-    Spark's skew join, so no neighbourhood meets in one task.  Loops and repeated edges do no harm; nothing comes to the driver but a sum.
-    """
-    now = scratch(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = scratch(small.where("u <> v").distinct())
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    """(node, root): every node of an edge with the smallest node that it is connected with."""
+    return labels(edges, a, b)
 
 
 def blocked(rows: DataFrame, key: str, ident: str, most: int, size: str | None = None) -> DataFrame:

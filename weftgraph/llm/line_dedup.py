@@ -1,22 +1,27 @@
 """Fuzzy line deduplication: one line of each group of lines that are alike stays.
 
-1. A line's letters and digits, lower-cased, are its normal form; its 8-byte windows are its shingles.  One pass over
-   the texts gives each line's 128-bit hash and its signature: one-permutation MinHash, the least hash in each of
-   BANDS * ROWS bins, empty bins filled from the next one.  Each task links the lines that agree in a band before
-   anything is shuffled, so a line that a third of all documents have is one row a task.
-2. Lines of different tasks that agree in a band are linked with the least of them, and the components of these edges
-   are worlds.  At a similarity of 0.8, a pair agrees in one of ten bands of four with 99.5 %, at 0.9 with 99.997 %.
-3. In a world, sets of whole shingles are joined exactly (100 * intersection >= PERCENT * union), worlds over a size in
-   pairs of blocks; distributed union-find gives the groups, and the first line by (id, text hash, line) of each stays.
+1. A line's letters and digits, lower-cased, are its normal form; its windows of WINDOW characters are its shingles.  One
+   pass over the texts gives each line's 128-bit hash and its signature: one-permutation MinHash, the least hash in each
+   of BANDS * ROWS bins, empty bins filled from the next one.  Each task sends a band's value and a line only once, so a line
+   that a third of all documents have is one row a task.
+2. Lines that agree in a band are candidates: each is paired with the least of its band, and these pairs are verified by
+   the exact Jaccard coefficient of whole sets (100 * intersection >= PERCENT * union).  Union-find over the pairs that hold gives groups; work is
+   linear, however many near copies of a line there are.
+3. What is left are bands whose lines lie in several groups.  There, lines of different groups are compared exactly (a band over a
+   size in pairs of blocks), and union-find over the groups that are linked joins them.  So no pair that agrees in a band is lost.
+   At a similarity of 0.8, a pair agrees in one of ten bands of four with 99.5 %, at 0.9 with 99.997 %.
+4. The first line by (id, text hash, line) of each group stays.
 
 Cases: null stays null; lines without a letter or digit (blank ones too) are left alone; lines shorter than a window have
-no signature and are alike only if their normal forms are equal; an empty text stays; rows that agree in id and text get the same lines dropped; ties go to the smaller id, null first; an
-empty table gives an empty result; other columns are carried untouched; texts are taken whole.
+no signature and are alike only if their normal forms are equal; an empty text stays; of rows that agree in id and text only the first can keep a line (``docs`` has to come from files,
+as rows are told apart by their place); ties go to the smaller id, null first; an
+empty table gives an empty result; other columns are carried untouched; texts are taken whole, memory follows the longest.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +32,82 @@ from pyspark.sql import types as T
 from . import trie
 from .common import scratch
 from .graph import blocked, by_group, components
-from .shingles import _BACK, _BASE, _BYTE, mixed, powers, together
+from .shingles import _BACK, _BASE, mixed, powers, together
 
-PERCENT, WINDOW = 80, 8
+PERCENT, WINDOW = 80, 5
 BANDS, ROWS = 10, 4
+#: Most characters of the lines of a band that are compared in one task.
 ELEMENTS = 1 << 20
-#: Worlds of so few lines are compared pair by pair; larger ones by the trie.
+#: So few lines are compared pair by pair; more by the trie.
 HANDFUL = 6
-#: Band entries that a task holds before it links them.
+#: Band entries that a task holds before it sends them.
 HELD = 1 << 22
-#: Rows that are broadcast to the texts; above, they are joined by a shuffle.
-FEW = 2_000_000
+#: Pairs that are verified together; a pair's number and 52 bits of a shingle's hash make one integer.
+PAIRS = 4096
 _EMPTY = np.uint32(0xFFFFFFFF)
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_KEPT = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
-def normal_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all lines' normal forms, where each line begins in them (one entry more), and each text's number of lines."""
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    kept = _KEPT[data]
+@lru_cache(1)
+def alphabet() -> np.ndarray:
+    """Whether a code point is a letter or digit."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def text_of(raw: bytes | None) -> str:
+    return (raw or b"").decode("utf-8", "surrogateescape")
+
+
+def normal_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all lines' normal forms, where each line begins in them (one entry more), and each text's number of lines."""
+    data = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = alphabet()[data]
     line = np.cumsum(data == 10)
     n = int(line[-1]) + 1 if len(data) else 1
     starts = np.concatenate([[0], np.cumsum(np.bincount(line[kept], minlength=n))])
-    return _LOWER[data[kept]], starts, np.array([t.count(b"\n") + 1 for t in texts])
+    return data[kept], starts, np.array([t.count("\n") + 1 for t in texts])
 
 
 def windows(form: np.ndarray) -> np.ndarray:
-    """All 8-byte windows as integers."""
+    """Hashes of all windows of the code points."""
     if len(form) < WINDOW:
         return np.empty(0, np.uint64)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(form, WINDOW)).view("<u8").ravel()
+    wide = form.astype(np.uint64)
+    h = wide[: len(form) - WINDOW + 1].copy()
+    for k in range(1, WINDOW):
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h += wide[k : len(form) - WINDOW + 1 + k]
+    return mixed(h)
+
+
+def of_lines(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the windows within the lines [a, b) of ``form``, and the line of each."""
+    many = np.maximum(b - a - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(a)), many)
+    at = np.arange(len(owner)) + np.repeat(a - (np.cumsum(many) - many), many)
+    return windows(form)[at], owner
 
 
 def line_hashes(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits, out = max(10, int(len(form)).bit_length()), []
-    for values in (_BYTE, mixed(_BYTE) | np.uint64(1)):
+    value = mixed(form.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    back = powers(_BACK, bits + 1)[a]
+    for _ in range(2):
         sums = np.zeros(len(form) + 1, np.uint64)
-        np.cumsum(values[form] * powers(_BASE, bits)[: len(form)], out=sums[1:])
-        back = powers(_BACK, bits + 1)[a]
+        np.cumsum(value * powers(_BASE, bits)[: len(form)], out=sums[1:])
         out.append(mixed((sums[b] - sums[a]) * back + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        value = mixed(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
     return out[0], out[1]
 
 
+def both_halves(k: np.ndarray, k2: np.ndarray) -> pa.Array:
+    raw = np.stack([k, k2], axis=1).tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def band_keys(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """lines x BANDS hashes."""
     bins = BANDS * ROWS
-    x = windows(form)
-    owner = np.repeat(np.arange(len(a)), b - a - WINDOW + 1)
-    at = np.arange(len(owner)) + np.repeat(a - np.concatenate([[0], np.cumsum(b - a - WINDOW + 1)[:-1]]), b - a - WINDOW + 1)
-    v = mixed(x[at])
+    v, owner = of_lines(form, a, b)
     least = np.full(len(a) * bins, _EMPTY, np.uint32)
     np.minimum.at(least, owner * bins + ((v >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), (v & np.uint64(0xFFFFFFFE)).astype(np.uint32))
     least = least.reshape(-1, bins)
@@ -99,15 +130,20 @@ def band_keys(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of three kinds: lines (id, fp, line, h, k, size), band pivots (band, k) and edges (k, pivot)."""
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, text, place) of the rows that have a text."""
     text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text")).where("text is not null")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"), F.monotonically_increasing_id().alias("place")).where("text is not null")
+
+
+def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: lines (id, fp, place, line, h, k, size) and members of bands (band, k)."""
+    slim = rows_of(docs, id_col, text_col)
     schema = T.StructType(
-        [T.StructField("kind", T.IntegerType()), slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
-        + [T.StructField(n, T.LongType()) for n in ("k", "size", "band", "pivot")]
+        [T.StructField("kind", T.IntegerType()), slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
+        + [T.StructField(n, T.LongType()) for n in ("k", "size", "band")]
     )
-    kinds = [pa.int32(), None, pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         bands: list[np.ndarray] = []
@@ -121,20 +157,16 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 out.append(pa.nulls(n, t or id_type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t))
             return pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
 
-        def linked():
-            band, key = np.concatenate(bands), np.concatenate(keys)
-            by = np.lexsort((key, band))
-            band, key = band[by], key[by]
-            first = np.append(True, band[1:] != band[:-1])
-            pivot = key[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            yield rows(first.sum(), kind=np.full(first.sum(), 1, np.int32), band=band[first].view(np.int64), k=key[first].view(np.int64))
-            other = key != pivot
-            pairs = np.unique(np.stack([key[other], pivot[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.uint64)
-            yield rows(len(pairs), kind=np.full(len(pairs), 2, np.int32), k=np.ascontiguousarray(pairs[:, 0]).view(np.int64), pivot=np.ascontiguousarray(pairs[:, 1]).view(np.int64))
+        def members():
+            key, which = np.unique(np.concatenate(keys), return_index=True)
+            band = np.concatenate(bands)[which]
+            for at in range(0, len(key), 1 << 15):
+                part = band[at : at + (1 << 15)].ravel()
+                yield rows(len(part), kind=np.full(len(part), 1, np.int32), band=part.view(np.int64), k=np.repeat(key[at : at + (1 << 15)], BANDS).view(np.int64))
 
         for batch in batches:
             id_type = batch.column(0).type
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = [text_of(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             for start, end in together(texts):
                 form, at, counts = normal_lines(texts[start:end])
                 size = np.diff(at)
@@ -145,47 +177,75 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 a, b = at[:-1][use], at[1:][use]
                 k, k2 = line_hashes(form, a, b)
-                h = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(use), [None, pa.py_buffer(np.stack([k, k2], axis=1).tobytes())]).cast(pa.binary())
                 pick = pa.array(doc[use] + start)
-                yield rows(len(use), kind=np.zeros(len(use), np.int32), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), line=number[use].astype(np.int32), h=h, k=k.view(np.int64), size=size[use])
+                yield rows(len(use), kind=np.zeros(len(use), np.int32), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), place=batch.column(3).take(pick), line=number[use].astype(np.int32), h=both_halves(k, k2), k=k.view(np.int64), size=size[use])
                 fuzzy = b - a >= WINDOW
                 if not fuzzy.any():
                     continue
                 a, b = a[fuzzy], b[fuzzy]
                 k_once, which = np.unique(k[fuzzy], return_index=True)
-                bands.append(band_keys(form, a[which], b[which]).ravel())
-                keys.append(np.repeat(k_once, BANDS))
-                held += len(bands[-1])
+                bands.append(band_keys(form, a[which], b[which]))
+                keys.append(k_once)
+                held += bands[-1].size
                 if held > HELD:
-                    yield from linked()
+                    yield from members()
                     bands, keys, held = [], [], 0
         if held:
-            yield from linked()
+            yield from members()
 
     return slim.mapInArrow(run, schema)
 
 
-def bridged(batches):
-    """Edges from each row of a band to its first, over sorted (band, k)."""
-    last = pivot = None
+def stars(batches):
+    """(band, k, pivot) for each line of a band but its first, the pivot, over sorted (band, k)."""
+    last = pivot = before = None
     for batch in batches:
         band, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(band):
             continue
         first = np.append(last is None or band[0] != last, band[1:] != band[:-1])
+        again = np.append(last is not None and band[0] == last and key[0] == before, (band[1:] == band[:-1]) & (key[1:] == key[:-1]))
         at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
         top = np.where(at >= 0, key[np.maximum(at, 0)], pivot if pivot is not None else 0)
-        other = key != top
+        other = ~first & ~again & (key != top)
         if other.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(top[other])], names=["a", "b"])
-        last, pivot = band[-1], top[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(band[other]), pa.array(key[other]), pa.array(top[other])], names=["band", "k", "pivot"])
+        last, pivot, before = band[-1], top[-1], key[-1]
+
 
+def alike(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """Which of up to PAIRS pairs of normal forms reach the threshold; all have a shingle."""
+    n = len(x)
+    form, at, _ = normal_lines([text_of(t) for t in x + y])
+    hashes, owner = of_lines(form, at[:-1], at[1:])
+    keys = (owner % n).astype(np.uint64) << np.uint64(52) | hashes >> np.uint64(12)
+    half = np.searchsorted(owner, n)
+    one, two = np.unique(keys[:half]), np.unique(keys[half:])
+    both = np.concatenate([one, two])
+    both.sort()
+    count = lambda k: np.bincount((k >> np.uint64(52)).astype(np.int64), minlength=n)
+    return (100 + percent) * count(both[1:][both[1:] == both[:-1]]) >= percent * (count(one) + count(two))
 
-def few_joined(sets: list[np.ndarray], percent: int) -> np.ndarray:
+
+def verified(percent: int):
+    """(a, b) of those (a, b, form of a, form of b) that are alike."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+                good = np.concatenate([alike(x[a:b], y[a:b], percent) for a, b in together([p + q for p, q in zip(x, y, strict=True)])])
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in (part.column(0), part.column(1))], names=["a", "b"])
+
+    return run
+
+
+def few_joined(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
     """What ``trie.joined`` gives first, pair by pair; for a handful of sets."""
     label = list(range(len(sets)))
     for a, b in itertools.combinations(range(len(sets)), 2):
-        if label[a] == label[b]:
+        if label[a] == label[b] or side[a] == side[b]:
             continue
         x, y = sets[a], sets[b]
         small, large = sorted((len(x), len(y)))
@@ -200,75 +260,100 @@ def few_joined(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array(label)
 
 
-def world(percent: int):
+def rest(percent: int):
     def then(table: pa.Table):
-        sets = [np.unique(windows(np.frombuffer(x, np.uint8))) for x in table.column("form").to_pylist()]
-        crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        if len(sets) <= HANDFUL and not crossing:
-            label = few_joined(sets, percent)
-        else:
-            label, _ = trie.joined(sets, percent, table.column("side").to_numpy() if crossing else None)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        if not len(moved):
+        """(a, b): links between the groups of the lines of a band, or of a pair of its blocks."""
+        root = table.column("root").to_numpy()
+        if (root == root[0]).all():
             return
-        hs = table.column("h").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([hs[x] for x in moved], pa.binary()), pa.array([hs[label[x]] for x in moved], pa.binary())], names=["h", "first"])
+        forms = [text_of(x) for x in table.column("form").to_pylist()]
+        form, at, _ = normal_lines(forms)
+        hashes, owner = of_lines(form, at[:-1], at[1:])
+        sets = [np.unique(x) for x in np.split(hashes, np.searchsorted(owner, np.arange(1, len(forms))))]
+        label = few_joined(sets, root, percent) if len(sets) <= HANDFUL else trie.joined(sets, percent, root)[0]
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(root[moved]), pa.array(root[label[moved]])], names=["a", "b"])
 
     return then
 
 
 def forms(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, form) of the wanted (id, fp, line, h): those lines are read again."""
-    text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text")).where("text is not null")
+    """(k, form) of the wanted (id, fp, line, k): those lines are read again."""
     per = scratch(wanted.groupBy(F.col("id").alias("i"), F.col("fp").alias("f")).agg(F.collect_list("line").alias("lines")))
-    per = F.broadcast(per) if wanted.count() <= FEW else per
+    slim = rows_of(docs, id_col, text_col).select("id", "fp", "text")
     found = slim.join(per, slim["id"].eqNullSafe(per["i"]) & (slim["fp"] == per["f"])).select("text", "lines")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            texts = [text_of(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
             lines = batch.column(1).to_pylist()
             for start, end in together(texts):
                 form, at, counts = normal_lines(texts[start:end])
                 begin = np.cumsum(counts) - counts
                 use = np.concatenate([begin[k] + np.array(lines[start + k]) for k in range(end - start)])
                 a, b = at[:-1][use], at[1:][use]
-                k, k2 = line_hashes(form, a, b)
-                h = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(use), [None, pa.py_buffer(np.stack([k, k2], axis=1).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([h, pa.array([form[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], names=["h", "form"])
-
-    return found.mapInArrow(run, "h binary, form binary").groupBy("h").agg(F.first("form").alias("form"))
+                k, _ = line_hashes(form, a, b)
+                made = [form[x:y].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape") for x, y in zip(a, b, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(made, pa.binary())], names=["k", "form"])
+
+    return found.mapInArrow(run, "k bigint, form binary").groupBy("k").agg(F.first("form").alias("form"))
+
+
+def groups(docs: DataFrame, lines: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(h, root) of the lines that are like another one."""
+    star = scratch(members.repartition("band").sortWithinPartitions("band", "k").mapInArrow(stars, "band bigint, k bigint, pivot bigint"))
+    pairs = star.select("k", "pivot").distinct()
+    ends = pairs.select("k").unionByName(pairs.select(F.col("pivot").alias("k"))).distinct()
+    at = F.min(F.struct("h", F.col("id").isNull().alias("nul"), "id", "fp", "line")).alias("at")
+    wanted = scratch(lines.join(ends, "k", "left_semi").groupBy("k").agg(at).select("k", "at.*"))
+    texts = scratch(forms(docs, wanted, id_col, text_col))
+    x = pairs.join(texts.withColumnRenamed("form", "x"), "k")
+    x = x.join(texts.select(F.col("k").alias("pivot"), F.col("form").alias("y")), "pivot")
+    held = x.select("k", "pivot", "x", "y").mapInArrow(verified(percent), "a bigint, b bigint")
+    found = scratch(components(held).withColumnRenamed("node", "k"))
+    # Bands whose lines lie in several groups; two lines were compared when they were verified.
+    label = lambda name: found.select(F.col("k").alias(name), F.col("root").alias(f"root_{name}"))
+    star = star.join(label("k"), "k", "left").join(label("pivot"), "pivot", "left")
+    star = star.select("band", "k", "pivot", F.coalesce("root_k", "k").alias("root"), F.coalesce("root_pivot", "pivot").alias("top"))
+    star = scratch(star)
+    mixed_bands = star.groupBy("band").agg(F.max((F.col("root") != F.col("top")).cast("int")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed = 1 and n > 1").select("band")
+    star = star.join(mixed_bands, "band", "left_semi")
+    among = star.select("band", "k", "root").unionByName(star.select("band", F.col("pivot").alias("k"), F.col("top").alias("root")).distinct())
+    among = scratch(among.join(texts.select("k", F.length("form").alias("size")), "k"))
+    parts = blocked(among, "band", "k", ELEMENTS, "size").select("band", "i", "j", "k", "root")
+    more = scratch(by_group(parts.join(texts, "k"), ["band", "i", "j"], rest(percent), "a bigint, b bigint"))
+    if not more.isEmpty():
+        final = components(more).select(F.col("node").alias("root"), F.col("root").alias("last"))
+        # Groups that are linked may be single lines, which ``found`` lacks.
+        found = found.unionByName(final.select(F.col("root").alias("k"), "root")).dropDuplicates(["k"])
+        found = found.join(final, "root", "left").select("k", F.coalesce("last", "root").alias("root"))
+    return wanted.select("k", "h").join(found, "k").select("h", "root")
 
 
 def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
-    """(id, fp, lines): the numbers of the lines that go, by document."""
+    """(id, fp, first, lines, all): by document, the place of its first row, the numbers of the lines that go from it, and
+    of all that have a letter or digit, which go from rows that repeat it; the last is null where there are none."""
     found = scratch(scanned(docs, id_col, text_col))
-    lines = found.where("kind = 0").select("id", "fp", "line", "h", "k", "size")
-    pivots = found.where("kind = 1").select("band", "k").repartition("band").sortWithinPartitions("band", "k")
-    edges = pivots.mapInArrow(bridged, "a bigint, b bigint").unionByName(found.where("kind = 2").select(F.col("k").alias("a"), F.col("pivot").alias("b")))
-    worlds = components(edges).withColumnRenamed("node", "k")
-    first = F.min(F.struct("id", "fp", "line")).alias("at")
-    wanted = scratch(lines.join(worlds, "k").groupBy("h").agg(first, F.first("root").alias("root"), F.first("size").alias("size")))
-    parts = blocked(wanted, "root", "h", ELEMENTS, "size")
-    texts = forms(docs, wanted.select("at.*", "h"), id_col, text_col)
-    near = by_group(parts.select("root", "i", "j", "side", "h").join(texts, "h"), ["root", "i", "j"], world(percent), "h binary, first binary")
-    groups = components(near, "h", "first").withColumnRenamed("node", "h")
-    each = scratch(lines.join(groups, "h", "left").select("id", "fp", "line", F.coalesce("root", "h").alias("root")))
-    stays = each.groupBy("root").agg(F.min(F.struct("id", "fp", "line")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = each.join(stays, "root").where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("fp") == F.col("at.fp")) & (F.col("line") == F.col("at.line"))))
-    return scratch(gone.groupBy("id", "fp").agg(F.array_distinct(F.collect_list("line")).alias("lines")))
+    lines = found.where("kind = 0").select("id", "fp", "place", "line", "h", "k", "size")
+    linked = groups(docs, lines, found.where("kind = 1").select("band", "k"), id_col, text_col, percent)
+    once = lines.groupBy("id", "fp", "line", "h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
+    each = scratch(once.join(linked, "h", "left").select("id", "fp", "line", "place", "times", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root")))
+    own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
+    stays = each.groupBy("root").agg(F.min(own).alias("at"), F.sum("times").alias("n")).where("n > 1")
+    gone = each.join(stays, "root").withColumn("goes", own != F.col("at"))
+    gone = gone.where("goes or times > 1").groupBy("id", "fp").agg(F.min("place").alias("first"), F.collect_set(F.when(F.col("goes"), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("times") > 1, F.col("line"))).alias("all"))
+    return scratch(gone.withColumn("all", F.when(F.size("all") > 0, F.col("all"))))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """``row`` (the input's columns), ``n_lines`` and ``n_gone`` (counts) and ``left``, the text without the lines that go."""
     gone = dropped(docs, id_col, text_col, percent)
-    gone = gone.select(F.col("id").alias("gi"), F.col("fp").alias("gf"), "lines")
-    if gone.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] <= FEW:
-        gone = F.broadcast(gone)
+    gone = gone.select(F.col("id").alias("gi"), F.col("fp").alias("gf"), "first", F.col("lines").alias("own"), "all")
     text = F.col(f"`{text_col}`").cast("string")
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("di"), F.xxhash64(text).alias("df"), text.alias("dt"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("di"), F.xxhash64(text).alias("df"), text.alias("dt"), F.monotonically_increasing_id().alias("place"))
     out = marked.join(gone, F.col("di").eqNullSafe(F.col("gi")) & (F.col("df") == F.col("gf")), "left")
+    out = out.withColumn("lines", F.when(F.col("all").isNull() | (F.col("place") == F.col("first")), F.col("own")).otherwise(F.col("all")))
     pieces = F.split("dt", "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("lines"))
     rest = F.element_at(F.transform(F.array(pieces), lambda p: F.array_join(F.transform(keep, lambda i: F.get(p, i)), "\n")), 1)
