@@ -2,7 +2,7 @@
 
 1. A line's letters and digits, lower-cased, are its normal form; its windows of WINDOW characters are its shingles.  One
    pass over the texts gives each line's 128-bit hash and its signature: one-permutation MinHash, the least hash in each
-   of BANDS * ROWS bins, empty bins filled from the next one.  Each task sends a band's value and a line only once, so a line
+   of BANDS * ROWS bins, empty bins filled from others at random (Shrivastava, 2017).  Each task sends a band's value and a line only once, so a line
    that a third of all documents have is one row a task.
 2. Lines that agree in a band are candidates: each is paired with the least of its band, and these pairs are verified by
    the exact Jaccard coefficient of whole sets (100 * intersection >= PERCENT * union).  Union-find over the pairs that hold gives groups; work is
@@ -44,6 +44,8 @@ HANDFUL = 6
 HELD = 1 << 22
 #: Pairs that are verified together; a pair's number and 52 bits of a shingle's hash make one integer.
 PAIRS = 4096
+#: Bits of the table of wanted lines, 64 in a row.
+BITS = 24
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -104,6 +106,15 @@ def both_halves(k: np.ndarray, k2: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
+@lru_cache(1)
+def probes() -> np.ndarray:
+    """Where an empty bin looks for a value, one bin after the other: at random places first, so that the bins of a band
+    borrow from different ones, then at all in turn."""
+    bins = BANDS * ROWS
+    random = np.random.Generator(np.random.PCG64(7)).integers(0, bins, (2 * bins, bins))
+    return np.concatenate([random, (np.arange(bins)[None, :] + np.arange(1, bins)[:, None]) % bins])
+
+
 def band_keys(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """lines x BANDS hashes."""
     bins = BANDS * ROWS
@@ -113,15 +124,19 @@ def band_keys(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     least = least.reshape(-1, bins)
     gaps = np.flatnonzero((least == _EMPTY).any(axis=1))
     if len(gaps):
-        old = least[gaps]
-        new = old.copy()
-        for step in range(1, bins):
-            empty = new == _EMPTY
-            if not empty.any():
+        old = new = least[gaps]
+        left = np.arange(len(gaps))
+        for step, source in enumerate(probes(), 1):
+            now, have = new[left], old[left][:, source]
+            fill = (now == _EMPTY) & (have != _EMPTY)
+            now[fill] = have[fill] + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
+            if step == 1:
+                new = now
+            else:
+                new[left] = now
+            left = left[(now == _EMPTY).any(axis=1)]
+            if not len(left):
                 break
-            moved = np.roll(old, -step, axis=1)
-            fill = empty & (moved != _EMPTY)
-            new[fill] = moved[fill] + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
         least[gaps] = new
     s = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
     h = np.zeros(s.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -196,21 +211,33 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def stars(batches):
-    """(band, k, pivot) for each line of a band but its first, the pivot, over sorted (band, k)."""
-    last = pivot = before = None
-    for batch in batches:
-        band, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(band):
-            continue
-        first = np.append(last is None or band[0] != last, band[1:] != band[:-1])
-        again = np.append(last is not None and band[0] == last and key[0] == before, (band[1:] == band[:-1]) & (key[1:] == key[:-1]))
-        at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-        top = np.where(at >= 0, key[np.maximum(at, 0)], pivot if pivot is not None else 0)
-        other = ~first & ~again & (key != top)
-        if other.any():
-            yield pa.RecordBatch.from_arrays([pa.array(band[other]), pa.array(key[other]), pa.array(top[other])], names=["band", "k", "pivot"])
-        last, pivot, before = band[-1], top[-1], key[-1]
+def starred(found: DataFrame) -> DataFrame:
+    """The rows of ``found``, members (kind 1) made into stars (kind 2): (band, k, pivot) for each line of a band but its least, the pivot."""
+    dealt = found.withColumn("deal", F.coalesce("band", "k")).repartition("deal").sortWithinPartitions("kind", "band", "k").drop("deal")
+    schema = T.StructType([*dealt.schema, T.StructField("pivot", T.LongType())])
+
+    def run(batches):
+        last = pivot = before = None
+        for batch in batches:
+            n, kind = batch.num_rows, batch.column(0).to_numpy()
+            many = int(np.searchsorted(kind, 1))
+            if many:
+                yield pa.RecordBatch.from_arrays([*batch.slice(0, many).columns, pa.nulls(many, pa.int64())], names=schema.names)
+            if many == n:
+                continue
+            part = batch.slice(many)
+            band, key = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("band", "k"))
+            first = np.append(last is None or band[0] != last, band[1:] != band[:-1])
+            again = np.append(last is not None and band[0] == last and key[0] == before, (band[1:] == band[:-1]) & (key[1:] == key[:-1]))
+            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            top = np.where(at >= 0, key[np.maximum(at, 0)], pivot if pivot is not None else 0)
+            other = np.flatnonzero(~first & ~again & (key != top))
+            if len(other):
+                made = {"kind": pa.array(np.full(len(other), 2, np.int32)), "band": pa.array(band[other]), "k": pa.array(key[other]), "pivot": pa.array(top[other])}
+                yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(len(other), part.schema.field(f.name).type) for f in schema], names=schema.names)
+            last, pivot, before = band[-1], top[-1], key[-1]
+
+    return dealt.mapInArrow(run, schema)
 
 
 def alike(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
@@ -278,36 +305,40 @@ def rest(percent: int):
     return then
 
 
-def forms(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, form) of the wanted (id, fp, line, k): those lines are read again."""
-    per = scratch(wanted.groupBy(F.col("id").alias("i"), F.col("fp").alias("f")).agg(F.collect_list("line").alias("lines")))
-    slim = rows_of(docs, id_col, text_col).select("id", "fp", "text")
-    found = slim.join(per, slim["id"].eqNullSafe(per["i"]) & (slim["fp"] == per["f"])).select("text", "lines")
+def forms(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, form) of the lines whose hashes are in ``ends`` (k): the texts are read again.
+
+    A table of BITS bits, which doesn't grow with the data, tells for most other lines before they are shuffled that they
+    aren't wanted; the join that follows is exact.
+    """
+    words = ends.select(F.shiftrightunsigned("k", 64 - BITS + 6).alias("word"), F.shiftrightunsigned("k", 64 - BITS).bitwiseAND(63).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
 
     def run(batches):
         for batch in batches:
             texts = [text_of(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            lines = batch.column(1).to_pylist()
             for start, end in together(texts):
-                form, at, counts = normal_lines(texts[start:end])
-                begin = np.cumsum(counts) - counts
-                use = np.concatenate([begin[k] + np.array(lines[start + k]) for k in range(end - start)])
+                form, at, _ = normal_lines(texts[start:end])
+                use = np.flatnonzero(np.diff(at) >= WINDOW)
+                if not len(use):
+                    continue
                 a, b = at[:-1][use], at[1:][use]
                 k, _ = line_hashes(form, a, b)
-                made = [form[x:y].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape") for x, y in zip(a, b, strict=True)]
+                k, which = np.unique(k, return_index=True)
+                raw = form.tobytes()
+                made = [raw[x:y].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape") for x, y in zip((4 * a[which]).tolist(), (4 * b[which]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(made, pa.binary())], names=["k", "form"])
 
-    return found.mapInArrow(run, "k bigint, form binary").groupBy("k").agg(F.first("form").alias("form"))
+    every = rows_of(docs, id_col, text_col).select("text").mapInArrow(run, "k bigint, form binary").withColumn("word", F.shiftrightunsigned("k", 64 - BITS + 6))
+    likely = every.join(F.broadcast(words), "word").where(F.expr(f"bits & shiftleft(1L, cast(shiftrightunsigned(k, {64 - BITS}) & 63 as int)) <> 0"))
+    return likely.select("k", "form").groupBy("k").agg(F.first("form").alias("form")).join(ends, "k", "left_semi")
 
 
-def groups(docs: DataFrame, lines: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(h, root) of the lines that are like another one."""
-    star = scratch(members.repartition("band").sortWithinPartitions("band", "k").mapInArrow(stars, "band bigint, k bigint, pivot bigint"))
     pairs = star.select("k", "pivot").distinct()
     ends = pairs.select("k").unionByName(pairs.select(F.col("pivot").alias("k"))).distinct()
-    at = F.min(F.struct("h", F.col("id").isNull().alias("nul"), "id", "fp", "line")).alias("at")
-    wanted = scratch(lines.join(ends, "k", "left_semi").groupBy("k").agg(at).select("k", "at.*"))
-    texts = scratch(forms(docs, wanted, id_col, text_col))
+    texts = scratch(forms(docs, ends, id_col, text_col))
     x = pairs.join(texts.withColumnRenamed("form", "x"), "k")
     x = x.join(texts.select(F.col("k").alias("pivot"), F.col("form").alias("y")), "pivot")
     held = x.select("k", "pivot", "x", "y").mapInArrow(verified(percent), "a bigint, b bigint")
@@ -328,15 +359,16 @@ def groups(docs: DataFrame, lines: DataFrame, members: DataFrame, id_col: str, t
         # Groups that are linked may be single lines, which ``found`` lacks.
         found = found.unionByName(final.select(F.col("root").alias("k"), "root")).dropDuplicates(["k"])
         found = found.join(final, "root", "left").select("k", F.coalesce("last", "root").alias("root"))
-    return wanted.select("k", "h").join(found, "k").select("h", "root")
+    # One line for each k: another with the same 64 bits, should there be one, was not compared.
+    return lines.select("k", "h").join(found, "k").groupBy("k", "root").agg(F.min("h").alias("h")).select("h", "root")
 
 
 def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, fp, first, lines, all): by document, the place of its first row, the numbers of the lines that go from it, and
     of all that have a letter or digit, which go from rows that repeat it; the last is null where there are none."""
-    found = scratch(scanned(docs, id_col, text_col))
+    found = scratch(starred(scanned(docs, id_col, text_col)))
     lines = found.where("kind = 0").select("id", "fp", "place", "line", "h", "k", "size")
-    linked = groups(docs, lines, found.where("kind = 1").select("band", "k"), id_col, text_col, percent)
+    linked = groups(docs, lines, found.where("kind = 2").select("band", "k", "pivot"), id_col, text_col, percent)
     once = lines.groupBy("id", "fp", "line", "h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
     each = scratch(once.join(linked, "h", "left").select("id", "fp", "line", "place", "times", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root")))
     own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
