@@ -29,7 +29,8 @@ def test_bands_with_several_groups_lose_no_pair(spark, monkeypatch):
     for chain in range(12):
         words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(rnd.randint(4, 16))]
         for k in range(rnd.randint(2, 9)):
-            words[rnd.randrange(len(words))] = "".join(rnd.choices("abcdefghijklmnop", k=6))
+            at = rnd.randrange(len(words))
+            words[at] = rnd.choice("qrstuv") + words[at][1:]
             rows.append((100 * chain + k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
     gone = brute.lines_gone(rows)
@@ -49,7 +50,7 @@ def test_bands_find_nearly_all_pairs():
         for _ in range(rnd.randint(1, 4)):
             y[rnd.randrange(len(y))] = rnd.choice("abcdef")
         y = "".join(y)
-        a, b = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (x, y))
+        a, b = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (x, y))
         share = len(a & b) / len(a | b)
         if share < 0.8 or x == y:
             continue
@@ -59,7 +60,7 @@ def test_bands_find_nearly_all_pairs():
         all_pairs[level] += 1
         met[level] += bool((keys[0] == keys[1]).any())
         assert line_dedup.alike([x.encode()], [y.encode()], 80).tolist() == [True]
-    assert min(all_pairs.values()) > 300 and met[0.8] > 0.99 * all_pairs[0.8] and met[0.9] > 0.998 * all_pairs[0.9]
+    assert min(all_pairs.values()) > 200 and met[0.8] > 0.99 * all_pairs[0.8] and met[0.9] > 0.998 * all_pairs[0.9]
 
 
 def test_near_copies_of_a_line_are_compared_a_few_times_each(spark, monkeypatch):
