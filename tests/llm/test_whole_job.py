@@ -64,17 +64,17 @@ def test_bands_find_nearly_all_pairs():
 
 
 def test_near_copies_of_a_line_are_compared_a_few_times_each(spark, monkeypatch):
-    """Twice the copies, about twice the comparisons."""
+    """A line is verified against the pivots of its bands, however many lines they hold."""
     base = "this is a notice that all pages of the site show at their very end and that hardly differs, printed on page"
 
     def pairs(n):
         docs = spark.createDataFrame([(k, f"{base} {k}") for k in range(n)], "doc_id bigint, text string").repartition(4)
-        star = line_dedup.starred(line_dedup.scanned(docs, "doc_id", "text")).where("kind = 2")
+        star = line_dedup.starred(line_dedup.scanned(docs, "doc_id", "text").where("kind = 1"))
         assert line_dedup.digest(docs).where("n_dropped = 0").count() == 1
         return star.select("k", "pivot").distinct().count()
 
     few, many = pairs(300), pairs(1200)
-    assert many <= 4.5 * few and many <= 10 * 1200
+    assert few <= line_dedup.BANDS * 300 and many <= line_dedup.BANDS * 1200 and many < 8 * few
 
 
 def test_copies_with_short_lines_go(spark):

@@ -211,33 +211,25 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def starred(found: DataFrame) -> DataFrame:
-    """The rows of ``found``, members (kind 1) made into stars (kind 2): (band, k, pivot) for each line of a band but its least, the pivot."""
-    dealt = found.withColumn("deal", F.coalesce("band", "k")).repartition("deal").sortWithinPartitions("kind", "band", "k").drop("deal")
-    schema = T.StructType([*dealt.schema, T.StructField("pivot", T.LongType())])
+def starred(members: DataFrame) -> DataFrame:
+    """(band, k, pivot) for each line of a band but its least, the pivot, from (band, k)."""
 
     def run(batches):
         last = pivot = before = None
         for batch in batches:
-            n, kind = batch.num_rows, batch.column(0).to_numpy()
-            many = int(np.searchsorted(kind, 1))
-            if many:
-                yield pa.RecordBatch.from_arrays([*batch.slice(0, many).columns, pa.nulls(many, pa.int64())], names=schema.names)
-            if many == n:
+            band, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(band):
                 continue
-            part = batch.slice(many)
-            band, key = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("band", "k"))
             first = np.append(last is None or band[0] != last, band[1:] != band[:-1])
             again = np.append(last is not None and band[0] == last and key[0] == before, (band[1:] == band[:-1]) & (key[1:] == key[:-1]))
             at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
             top = np.where(at >= 0, key[np.maximum(at, 0)], pivot if pivot is not None else 0)
-            other = np.flatnonzero(~first & ~again & (key != top))
-            if len(other):
-                made = {"kind": pa.array(np.full(len(other), 2, np.int32)), "band": pa.array(band[other]), "k": pa.array(key[other]), "pivot": pa.array(top[other])}
-                yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(len(other), part.schema.field(f.name).type) for f in schema], names=schema.names)
+            other = ~first & ~again & (key != top)
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(band[other]), pa.array(key[other]), pa.array(top[other])], names=["band", "k", "pivot"])
             last, pivot, before = band[-1], top[-1], key[-1]
 
-    return dealt.mapInArrow(run, schema)
+    return members.select("band", "k").repartition("band").sortWithinPartitions("band", "k").mapInArrow(run, "band bigint, k bigint, pivot bigint")
 
 
 def alike(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
@@ -325,9 +317,10 @@ def forms(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataF
                 a, b = at[:-1][use], at[1:][use]
                 k, _ = line_hashes(form, a, b)
                 k, which = np.unique(k, return_index=True)
-                raw = form.tobytes()
-                made = [raw[x:y].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape") for x, y in zip((4 * a[which]).tolist(), (4 * b[which]).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(made, pa.binary())], names=["k", "form"])
+                raw = form.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape")
+                wide = np.concatenate([[0], np.cumsum(1 + (form >= 0x80) + (form >= 0x800) + (form >= 0x10000) - 2 * ((form >= 0xDC80) & (form <= 0xDCFF)))])
+                made = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(wide[at].astype(np.int32).tobytes()), pa.py_buffer(raw)]).take(pa.array(use[which]))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), made], names=["k", "form"])
 
     every = rows_of(docs, id_col, text_col).select("text").mapInArrow(run, "k bigint, form binary").withColumn("word", F.shiftrightunsigned("k", 64 - BITS + 6))
     likely = every.join(F.broadcast(words), "word").where(F.expr(f"bits & shiftleft(1L, cast(shiftrightunsigned(k, {64 - BITS}) & 63 as int)) <> 0"))
@@ -366,9 +359,9 @@ def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text
 def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, fp, first, lines, all): by document, the place of its first row, the numbers of the lines that go from it, and
     of all that have a letter or digit, which go from rows that repeat it; the last is null where there are none."""
-    found = scratch(starred(scanned(docs, id_col, text_col)))
+    found = scratch(scanned(docs, id_col, text_col))
     lines = found.where("kind = 0").select("id", "fp", "place", "line", "h", "k", "size")
-    linked = groups(docs, lines, found.where("kind = 2").select("band", "k", "pivot"), id_col, text_col, percent)
+    linked = groups(docs, lines, scratch(starred(found.where("kind = 1"))), id_col, text_col, percent)
     once = lines.groupBy("id", "fp", "line", "h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
     each = scratch(once.join(linked, "h", "left").select("id", "fp", "line", "place", "times", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root")))
     own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
