@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of remembered segments in a Python worker, and the longest segment that is remembered.
-REMEMBERED, LONG = 64 << 20, 64
+REMEMBERED, LONG = 128 << 20, 64
 #: What an entry takes besides its characters and ids.
 ENTRY = 350
 #: How much less than the lowest piece of one character other than the space a character outside the vocabulary scores.
