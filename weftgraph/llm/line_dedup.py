@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,12 +64,18 @@ def normal_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all lines' normal forms, where each line begins in them (one entry more), and each text's number of lines."""
     data = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     kept = alphabet()[data]
-    line = np.cumsum(data == 10)
-    n = int(line[-1]) + 1 if len(data) else 1
-    starts = np.concatenate([[0], np.cumsum(np.bincount(line[kept], minlength=n))])
+    so_far = np.cumsum(kept)
+    starts = np.concatenate([[0], so_far[data == 10], so_far[-1:] if len(data) else [0]])
     return data[kept], starts, np.array([t.count("\n") + 1 for t in texts])
 
 
+def code_points(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of normal forms and of the breaks between them; where each form begins and ends."""
+    data = np.frombuffer(b"\n".join(forms).decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.flatnonzero(data == 10)
+    return data, np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
+
+
 def windows(form: np.ndarray) -> np.ndarray:
     """Hashes of all windows of the code points."""
     if len(form) < WINDOW:
@@ -89,15 +96,20 @@ def of_lines(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return windows(form)[at], owner
 
 
+@lru_cache(1)
+def values() -> tuple[np.ndarray, np.ndarray]:
+    """Two odd numbers for each code point."""
+    one = mixed(np.arange(1, 0x110001, dtype=np.uint64)) | np.uint64(1)
+    return one, mixed(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
+
+
 def line_hashes(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits, out = max(10, int(len(form)).bit_length()), []
-    value = mixed(form.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
     back = powers(_BACK, bits + 1)[a]
-    for _ in range(2):
+    for value in values():
         sums = np.zeros(len(form) + 1, np.uint64)
-        np.cumsum(value * powers(_BASE, bits)[: len(form)], out=sums[1:])
+        np.cumsum(value[form] * powers(_BASE, bits)[: len(form)], out=sums[1:])
         out.append(mixed((sums[b] - sums[a]) * back + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        value = mixed(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
     return out[0], out[1]
 
 
@@ -152,13 +164,14 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: lines (id, fp, place, line, h, k, size) and members of bands (band, k)."""
+    """Rows of two kinds: lines (id, fp, place, line, h, k, size), and a task's different lines with the values of their bands (k, bands)."""
     slim = rows_of(docs, id_col, text_col)
     schema = T.StructType(
-        [T.StructField("kind", T.IntegerType()), slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
-        + [T.StructField(n, T.LongType()) for n in ("k", "size", "band")]
+        [slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
+        + [T.StructField(n, T.LongType()) for n in ("k", "size")]
+        + [T.StructField("bands", T.ArrayType(T.LongType()))]
     )
-    kinds = [pa.int32(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches):
         bands: list[np.ndarray] = []
@@ -175,9 +188,10 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def members():
             key, which = np.unique(np.concatenate(keys), return_index=True)
             band = np.concatenate(bands)[which]
-            for at in range(0, len(key), 1 << 15):
-                part = band[at : at + (1 << 15)].ravel()
-                yield rows(len(part), kind=np.full(len(part), 1, np.int32), band=part.view(np.int64), k=np.repeat(key[at : at + (1 << 15)], BANDS).view(np.int64))
+            for at in range(0, len(key), 1 << 13):
+                part = band[at : at + (1 << 13)]
+                ends = pa.array(np.arange(0, part.size + 1, BANDS, dtype=np.int32))
+                yield rows(len(part), k=key[at : at + (1 << 13)].view(np.int64), bands=pa.ListArray.from_arrays(ends, pa.array(part.ravel().view(np.int64))))
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -193,7 +207,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 a, b = at[:-1][use], at[1:][use]
                 k, k2 = line_hashes(form, a, b)
                 pick = pa.array(doc[use] + start)
-                yield rows(len(use), kind=np.zeros(len(use), np.int32), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), place=batch.column(3).take(pick), line=number[use].astype(np.int32), h=both_halves(k, k2), k=k.view(np.int64), size=size[use])
+                yield rows(len(use), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), place=batch.column(3).take(pick), line=number[use].astype(np.int32), h=both_halves(k, k2), k=k.view(np.int64), size=size[use])
                 fuzzy = b - a >= WINDOW
                 if not fuzzy.any():
                     continue
@@ -211,47 +225,24 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def starred(found: DataFrame) -> DataFrame:
-    """The rows of ``found``, members (kind 1) made into stars (kind 2): (band, k, pivot) for each line of a band but its least, the pivot."""
-    dealt = found.withColumn("deal", F.coalesce("band", "k")).repartition("deal").sortWithinPartitions("kind", "band", "k").drop("deal")
-    schema = T.StructType([*dealt.schema, T.StructField("pivot", T.LongType())])
+def starred(members: DataFrame) -> DataFrame:
+    """(band, k, pivot) for each line of a band but its least, the pivot, from (k, bands).
 
-    def run(batches):
-        last = pivot = before = None
-        for batch in batches:
-            n, kind = batch.num_rows, batch.column(0).to_numpy()
-            many = int(np.searchsorted(kind, 1))
-            if many:
-                yield pa.RecordBatch.from_arrays([*batch.slice(0, many).columns, pa.nulls(many, pa.int64())], names=schema.names)
-            if many == n:
-                continue
-            part = batch.slice(many)
-            band, key = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("band", "k"))
-            first = np.append(last is None or band[0] != last, band[1:] != band[:-1])
-            again = np.append(last is not None and band[0] == last and key[0] == before, (band[1:] == band[:-1]) & (key[1:] == key[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            top = np.where(at >= 0, key[np.maximum(at, 0)], pivot if pivot is not None else 0)
-            other = np.flatnonzero(~first & ~again & (key != top))
-            if len(other):
-                made = {"kind": pa.array(np.full(len(other), 2, np.int32)), "band": pa.array(band[other]), "k": pa.array(key[other]), "pivot": pa.array(top[other])}
-                yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(len(other), part.schema.field(f.name).type) for f in schema], names=schema.names)
-            last, pivot, before = band[-1], top[-1], key[-1]
-
-    return dealt.mapInArrow(run, schema)
+    Bands are sorted and their least lines found in the JVM, spilling where a band is large; all but a few bands have one line.
+    """
+    dealt = members.select("k", F.explode("bands").alias("band"))
+    return dealt.withColumn("pivot", F.min("k").over(W.partitionBy("band"))).where("k <> pivot").select("band", "k", "pivot").distinct()
 
 
 def alike(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
     """Which of up to PAIRS pairs of normal forms reach the threshold; all have a shingle."""
     n = len(x)
-    form, at, _ = normal_lines([text_of(t) for t in x + y])
-    hashes, owner = of_lines(form, at[:-1], at[1:])
-    keys = (owner % n).astype(np.uint64) << np.uint64(52) | hashes >> np.uint64(12)
-    half = np.searchsorted(owner, n)
-    one, two = np.unique(keys[:half]), np.unique(keys[half:])
-    both = np.concatenate([one, two])
-    both.sort()
+    hashes, owner = of_lines(*code_points(x + y))
+    keys = (owner % n).astype(np.uint64) << np.uint64(52) | hashes >> np.uint64(13) << np.uint64(1) | (owner >= n)
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]  # those of one pair and shingle are neighbours, the sides differ in the last bit
     count = lambda k: np.bincount((k >> np.uint64(52)).astype(np.int64), minlength=n)
-    return (100 + percent) * count(both[1:][both[1:] == both[:-1]]) >= percent * (count(one) + count(two))
+    return (100 + percent) * count(keys[1:][keys[1:] ^ keys[:-1] == 1]) >= percent * count(keys)
 
 
 def verified(percent: int):
@@ -293,9 +284,8 @@ def rest(percent: int):
         root = table.column("root").to_numpy()
         if (root == root[0]).all():
             return
-        forms = [text_of(x) for x in table.column("form").to_pylist()]
-        form, at, _ = normal_lines(forms)
-        hashes, owner = of_lines(form, at[:-1], at[1:])
+        forms = table.column("form").to_pylist()
+        hashes, owner = of_lines(*code_points(forms))
         sets = [np.unique(x) for x in np.split(hashes, np.searchsorted(owner, np.arange(1, len(forms))))]
         label = few_joined(sets, root, percent) if len(sets) <= HANDFUL else trie.joined(sets, percent, root)[0]
         moved = np.flatnonzero(label != np.arange(len(label)))
@@ -305,40 +295,52 @@ def rest(percent: int):
     return then
 
 
-def forms(docs: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, form) of the lines whose hashes are in ``ends`` (k): the texts are read again.
+def forms(docs: DataFrame, lines: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, form) of the lines whose hashes are in ``ends`` (k): each is read again from one text that has it.
 
-    A table of BITS bits, which doesn't grow with the data, tells for most other lines before they are shuffled that they
-    aren't wanted; the join that follows is exact.
+    A table of BITS bits, which doesn't grow with the data, tells of most other lines that they aren't wanted before
+    they leave Python; the join that follows is exact.
     """
-    words = ends.select(F.shiftrightunsigned("k", 64 - BITS + 6).alias("word"), F.shiftrightunsigned("k", 64 - BITS).bitwiseAND(63).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    spark = docs.sparkSession
+    once = lines.select("k", F.xxhash64("id", "fp").alias("doc"), "line").join(ends, "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("at"))
+    spot = F.col("at.doc").bitwiseXOR(F.shiftleft(F.col("at.line").cast("long"), 64 - BITS))
+    words = once.select(F.shiftrightunsigned(spot, 64 - BITS + 6).alias("word"), F.shiftrightunsigned(spot, 64 - BITS).bitwiseAND(63).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches):
         for batch in batches:
-            texts = [text_of(x) for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            texts = [text_of(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            docs_at = batch.column(0).to_numpy().view(np.uint64)
             for start, end in together(texts):
-                form, at, _ = normal_lines(texts[start:end])
-                use = np.flatnonzero(np.diff(at) >= WINDOW)
+                form, at, counts = normal_lines(texts[start:end])
+                number = np.arange(len(at) - 1) - np.repeat(np.cumsum(counts) - counts, counts)
+                spot = (np.repeat(docs_at[start:end], counts) ^ number.astype(np.uint64) << np.uint64(64 - BITS)) >> np.uint64(64 - BITS)
+                likely = sent.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)
+                use = np.flatnonzero((np.diff(at) >= WINDOW) & (likely == 1))
                 if not len(use):
                     continue
                 a, b = at[:-1][use], at[1:][use]
+                form = np.concatenate([form[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                b = np.cumsum(b - a)
+                a = np.append(0, b[:-1])
                 k, _ = line_hashes(form, a, b)
                 k, which = np.unique(k, return_index=True)
                 raw = form.tobytes()
                 made = [raw[x:y].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape") for x, y in zip((4 * a[which]).tolist(), (4 * b[which]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(made, pa.binary())], names=["k", "form"])
 
-    every = rows_of(docs, id_col, text_col).select("text").mapInArrow(run, "k bigint, form binary").withColumn("word", F.shiftrightunsigned("k", 64 - BITS + 6))
-    likely = every.join(F.broadcast(words), "word").where(F.expr(f"bits & shiftleft(1L, cast(shiftrightunsigned(k, {64 - BITS}) & 63 as int)) <> 0"))
-    return likely.select("k", "form").groupBy("k").agg(F.first("form").alias("form")).join(ends, "k", "left_semi")
+    every = rows_of(docs, id_col, text_col).select(F.xxhash64("id", "fp").alias("doc"), "text").mapInArrow(run, "k bigint, form binary")
+    return every.join(ends, "k", "left_semi").groupBy("k").agg(F.first("form").alias("form"))
 
 
 def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(h, root) of the lines that are like another one."""
     pairs = star.select("k", "pivot").distinct()
     ends = pairs.select("k").unionByName(pairs.select(F.col("pivot").alias("k"))).distinct()
-    texts = scratch(forms(docs, ends, id_col, text_col))
+    texts = scratch(forms(docs, lines, ends, id_col, text_col))
     x = pairs.join(texts.withColumnRenamed("form", "x"), "k")
     x = x.join(texts.select(F.col("k").alias("pivot"), F.col("form").alias("y")), "pivot")
     held = x.select("k", "pivot", "x", "y").mapInArrow(verified(percent), "a bigint, b bigint")
@@ -366,9 +368,9 @@ def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text
 def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, fp, first, lines, all): by document, the place of its first row, the numbers of the lines that go from it, and
     of all that have a letter or digit, which go from rows that repeat it; the last is null where there are none."""
-    found = scratch(starred(scanned(docs, id_col, text_col)))
-    lines = found.where("kind = 0").select("id", "fp", "place", "line", "h", "k", "size")
-    linked = groups(docs, lines, found.where("kind = 2").select("band", "k", "pivot"), id_col, text_col, percent)
+    found = scratch(scanned(docs, id_col, text_col))
+    lines = found.where("bands is null").select("id", "fp", "place", "line", "h", "k", "size")
+    linked = groups(docs, lines, scratch(starred(found.where("bands is not null"))), id_col, text_col, percent)
     once = lines.groupBy("id", "fp", "line", "h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
     each = scratch(once.join(linked, "h", "left").select("id", "fp", "line", "place", "times", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root")))
     own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
