@@ -30,60 +30,86 @@ class Template:
         return [x for x in shown if x != "cat"]
 
 
-def parse(text: str) -> list:
-    """Nodes: str, Link or Template."""
-    nodes, _ = _parse(text, 0, ())
-    return nodes
+_MARKS = re.compile(r"\{\{|\}\}|\[\[|\||=")
 
 
-def _parse(text: str, at: int, stops: tuple[str, ...]) -> tuple[list, int]:
-    nodes: list = []
-    start = at
-    while at < len(text):
-        if any(text.startswith(s, at) for s in stops):
-            break
-        two = text[at : at + 2]
-        made = _template(text, at) if two == "{{" else _link(text, at) if two == "[[" else None
-        if made is None:
-            at += 1
-            continue
-        if at > start:
-            nodes.append(text[start:at])
-        nodes.append(made[0])
-        at = start = made[1]
-    if at > start:
-        nodes.append(text[start:at])
-    return nodes, at
-
-
-def _template(text: str, at: int):
-    name, at = _parse(text, at + 2, ("|", "}}"))
-    out = Template(plain(name).strip())
-    while text.startswith("|", at):
-        head, mark = _parse(text, at + 1, ("=", "|", "}}"))
-        if text.startswith("=", mark):
-            value, at = _parse(text, mark + 1, ("|", "}}"))
-            out.params.append((plain(head).strip(), value))
+@dataclass
+class _Open:
+    """A template whose end has not been met."""
+
+    part: int
+    #: (start, end, node) of what was closed within it, and how many of these lie before the part.
+    inner: list[tuple[int, int, Link | Template]] = field(default_factory=list)
+    before: int = 0
+    name: str | None = None
+    key: str | None = None
+    params: list[tuple[str | None, list]] = field(default_factory=list)
+
+    def take(self, text: str, end: int, after: int) -> list:
+        nodes = _between(text, self.part, end, self.inner[self.before :])
+        self.part, self.before = after, len(self.inner)
+        return nodes
+
+    def finish(self, text: str, end: int, after: int) -> None:
+        nodes = self.take(text, end, after)
+        if self.name is None:
+            self.name = plain(nodes).strip()
         else:
-            out.params.append((None, head))
-            at = mark
-    return (out, at + 2) if text.startswith("}}", at) else None
+            self.params.append((self.key, nodes))
+        self.key = None
 
 
-def _link(text: str, at: int):
-    end = text.find("]]", at)
-    if end < 0:
-        return None
-    title, bar, shown = text[at + 2 : end].partition("|")
-    return Link(title, shown if bar else None), end + 2
+def _between(text: str, start: int, end: int, inner: list) -> list:
+    nodes: list = []
+    for a, b, node in inner:
+        nodes += [text[start:a]] if a > start else []
+        nodes.append(node)
+        start = b
+    return nodes + ([text[start:end]] if end > start else [])
+
+
+def parse(text: str) -> list:
+    """Nodes: str, Link or Template.  One pass; openings that nothing closes are text."""
+    top: list[tuple[int, int, Link | Template]] = []
+    stack: list[_Open] = []
+    starts: list[int] = []
+    at, links = 0, True
+    while mark := _MARKS.search(text, at):
+        at, what = mark.end(), mark.group()
+        inner = stack[-1].inner if stack else top
+        if what == "{{":
+            stack.append(_Open(at))
+            starts.append(mark.start())
+        elif what == "[[":
+            end = text.find("]]", at) if links else -1
+            links = end >= 0
+            if links:
+                title, bar, shown = text[at:end].partition("|")
+                at = end + 2
+                inner.append((mark.start(), at, Link(title, shown if bar else None)))
+        elif stack and what == "=":
+            own = stack[-1]
+            if own.name is not None and own.key is None:
+                own.key = plain(own.take(text, mark.start(), at)).strip()
+        elif stack:
+            own = stack[-1]
+            own.finish(text, mark.start(), at)
+            if what == "}}":
+                stack.pop()
+                (stack[-1].inner if stack else top).append((starts.pop(), at, Template(own.name or "", own.params)))
+    return _between(text, 0, len(text), top + [x for own in stack for x in own.inner])
 
 
 def walk(nodes: list):
-    for n in nodes:
+    todo = [iter(nodes)]
+    while todo:
+        n = next(todo[-1], None)
+        if n is None:
+            todo.pop()
+            continue
         yield n
         if isinstance(n, Template):
-            for _, value in n.params:
-                yield from walk(value)
+            todo.append(x for _, value in n.params for x in value)
 
 
 def plain(nodes: list) -> str:

@@ -42,7 +42,7 @@ def candidates(lexicon: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def mentions(grams: DataFrame, lexicon: DataFrame, titles: list[str]) -> DataFrame:
-    """(key, chapter, pos, step, kind, ids) at the positions where something is found.
+    """(key, chapter, pos, step, kind, ids, moniker) at the positions where something is found.
 
     Three words win over two, two over a title, a title over one word, whoever is present in the book; ``ids`` are the
     entities that are.  A title counts only if neither the next word nor the next two are monikers.  ``lexicon`` is (moniker, cands).
@@ -58,15 +58,34 @@ def mentions(grams: DataFrame, lexicon: DataFrame, titles: list[str]) -> DataFra
     cands = F.when(F.col("kind") == 3, F.col("c3")).when(F.col("kind") == 2, F.col("c2")).when(F.col("kind") == 1, F.col("c1"))
     present = F.transform(F.filter(cands, lambda c: F.array_contains(c["books"], book)), lambda c: c["id"])
     found = grams.withColumn("kind", kind).where("kind is not null")
-    found = found.select("key", "chapter", "n_tokens", "pos", F.greatest("kind", F.lit(1)).alias("step"), "kind", F.coalesce(present, F.array().cast("array<bigint>")).alias("ids"))
+    moniker = F.when(F.col("kind") == 3, F.col("three")).when(F.col("kind") == 2, F.col("two")).otherwise(F.col("token"))
+    found = found.select("key", "chapter", "n_tokens", "pos", F.greatest("kind", F.lit(1)).alias("step"), "kind", F.coalesce(present, F.array().cast("array<bigint>")).alias("ids"), moniker.alias("moniker"))
     return found.where("step > 1 or kind = 0 or size(ids) > 0")
 
 
+def recalled(resolution: DataFrame, entities: DataFrame) -> DataFrame:
+    """``resolution`` (key, chapter, pos, char_id) with ids that no entity has made null: whoever was meant is nobody now."""
+    known = entities.select(F.col("id").alias("char_id"), F.lit(True).alias("here")).distinct()
+    return resolution.join(known, "char_id", "left").select("key", "chapter", "pos", F.when(F.col("here"), F.col("char_id")).alias("char_id"))
+
+
+def with_defaults(resolution: DataFrame, found: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``resolution`` and, for questions that it leaves open, the id that ``defaults`` (moniker, char_id) gives to a moniker of several entities."""
+    asked = found.where("kind > 0 and size(ids) > 1").join(defaults, "moniker").select("key", "chapter", F.col("pos").cast("int").alias("pos"), "char_id")
+    own = resolution.select("key", "chapter", F.col("pos").cast("int").alias("pos"), "char_id")
+    return own.unionByName(asked.join(own, ["key", "chapter", "pos"], "left_anti"))
+
+
+def merged(old: DataFrame, answers: DataFrame) -> DataFrame:
+    """``old`` with ``answers``, which win; both (key, chapter, pos, char_id)."""
+    return old.join(answers, ["key", "chapter", "pos"], "left_anti").unionByName(answers)
+
+
 def resolved(found: DataFrame, resolution: DataFrame | None = None) -> DataFrame:
     """Add ``hit`` (an id or null) and ``open`` (asked for and not answered).
 
     One candidate is taken; several, and titles, are looked up in (key, chapter, pos, char_id), where a null id means
-    nobody and a missing row that the question is open.
+    nobody and a missing row that the question is open.  Ids that no entity has are to be made null before (``recalled``).
     """
     asked = (F.col("kind") == 0) | (F.size("ids") > 1)
     if resolution is None:

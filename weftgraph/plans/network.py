@@ -7,12 +7,12 @@ capitalised n-grams; ids are ranks, every third moniker is also the next one's,
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import graph, lexicon, mentions, runs
 from ..operators.components import written
+from ..sources.graphs import ordinals
 from ..sources.pages import paragraphs
 
 TITLES = ["The", "Of", "And"]
@@ -33,7 +33,7 @@ def stand_in(spark, sf_dir, least=LEAST) -> DataFrame:
     each = grams.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("moniker")) for k, c in ((1, "token"), (2, "two"), (3, "three"))])).alias("g")).select("g.*")
     each = each.where(F.size(F.split("moniker", " ")) == F.col("k")).where(~F.col("moniker").endswith(" "))
     often = each.groupBy("k", "moniker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.element_at(F.array(*[F.lit(x) for x in least]), F.col("k")))
-    ranked = often.select("moniker", (F.row_number().over(W.orderBy("moniker")) - 1).cast("bigint").alias("id"))  # a row for each moniker, not for each text
+    ranked = ordinals(often.select(F.col("moniker").alias("id"))).select(F.col("id").alias("moniker"), F.col("ordinal").alias("id"))
     return ranked.unionByName(ranked.where("id % 3 = 0").select("moniker", (F.col("id") + 1).alias("id")))
 
 
@@ -43,9 +43,9 @@ def entities(spark, sf_dir, lex: DataFrame) -> DataFrame:
     return lex.select("id").distinct().crossJoin(F.broadcast(books)).select("id", F.filter("all", lambda s: (F.col("id") + number(s)) % 4 != 0).alias("books"))
 
 
-def found(spark, sf_dir) -> DataFrame:
+def found(spark, sf_dir, lex: DataFrame | None = None) -> DataFrame:
     """The lexicon is written once, as it is joined five times; Spark then knows its size and broadcasts it if it is small."""
-    lex = written(stand_in(spark, sf_dir))
+    lex = lex or written(stand_in(spark, sf_dir))
     cands = written(mentions.candidates(lex, entities(spark, sf_dir, lex)))
     return mentions.mentions(mentions.ngrams(chapters(spark, sf_dir)), cands, TITLES)
 
@@ -105,6 +105,23 @@ def resolution_join(spark, sf_dir):
     return mentions.resolved(hits, answers(hits)).select("chapter", "pos", "hit", "open")
 
 
+def resolution_recall(spark, sf_dir):
+    """Answers of which every fifth position's is an id that no entity has: nobody."""
+    lex = written(stand_in(spark, sf_dir))
+    hits = written(found(spark, sf_dir, lex))
+    stale = answers(hits).withColumn("char_id", F.when(F.col("pos") % 5 == 0, F.col("char_id") + 1000000).otherwise(F.col("char_id")))
+    return mentions.resolved(hits, mentions.recalled(stale, lex)).select("chapter", "pos", "hit", "open")
+
+
+def resolution_defaults(spark, sf_dir):
+    """Every third position is answered; monikers of several entities have their greatest id as default, and what is left stays open."""
+    lex = written(stand_in(spark, sf_dir))
+    hits = written(found(spark, sf_dir, lex))
+    usual = lex.groupBy("moniker").agg(F.max("id").alias("char_id"))
+    known = answers(hits).where("pos % 3 = 1")
+    return mentions.resolved(hits, mentions.with_defaults(known, hits, usual)).select("chapter", "pos", "hit", "open")
+
+
 def pending_questions(spark, sf_dir):
     hits = written(found(spark, sf_dir))
     known = answers(hits).where("char_id is not null")
@@ -135,7 +152,7 @@ def context_window(spark, sf_dir):
 
 
 QUERIES = (
-    tokenise, ngram_lookahead, html_paragraphs, html_tokens, lexicon_build, lexicon_exact, lexicon_prefix, lexicon_size, mention_ladder, resolution_join,
+    tokenise, ngram_lookahead, html_paragraphs, html_tokens, lexicon_build, lexicon_exact, lexicon_prefix, lexicon_size, mention_ladder, resolution_join, resolution_recall, resolution_defaults,
     pending_questions, run_walk, cooccurrence_rollup, cooccurrence_book, context_window,
 )
 
@@ -198,6 +215,14 @@ SQL = {
     "lexicon_size": f"{_BASE} SELECT count(DISTINCT moniker) AS n_monikers, count(*) AS n_entries FROM lex",
     "mention_ladder": f"{_BASE},\n{_FOUND} SELECT key, chapter, pos, step, kind, array_to_string(ids, ',') AS ids FROM hits",
     "resolution_join": f"""{_BASE},\n{_FOUND} SELECT chapter, pos, {_HIT} AS hit, false AS open FROM hits""",
+    "resolution_recall": f"""{_BASE},\n{_FOUND}, answered AS (SELECT *, {_HIT} AS hit FROM hits)
+      SELECT chapter, pos, CASE WHEN (kind = 0 OR len(ids) > 1) AND (pos % 5 = 0 OR hit NOT IN (SELECT id FROM lex)) THEN NULL ELSE hit END AS hit, false AS open FROM answered""",
+    "resolution_defaults": f"""{_BASE},\n{_FOUND}, usual AS (SELECT moniker, max(id) AS usual FROM lex GROUP BY 1),
+      words AS (SELECT h.*, u.usual FROM hits h JOIN grams g ON g.key = h.key AND g.chapter = h.chapter AND g.pos = h.pos
+        LEFT JOIN usual u ON h.kind > 0 AND u.moniker = CASE h.kind WHEN 3 THEN token || ' ' || next_two WHEN 2 THEN token || ' ' || next_one ELSE token END)
+      SELECT chapter, pos, CASE WHEN kind > 0 AND len(ids) = 1 THEN ids[1] WHEN pos % 3 = 1 THEN {_HIT} WHEN kind > 0 AND len(ids) > 1 THEN usual END AS hit,
+        kind = 0 AND pos % 3 <> 1 AS open FROM (SELECT * FROM words WHERE kind = 0 OR len(ids) > 0)
+      UNION ALL SELECT chapter, pos, NULL, false FROM words WHERE kind > 0 AND len(ids) = 0""",
     "pending_questions": f"{_BASE},\n{_FOUND} SELECT h.chapter, pos, {_around('pos')} FROM hits h JOIN docs USING (key, chapter) WHERE (kind = 0 OR len(ids) > 1) AND pos % 3 = 0",
     "context_window": f"WITH {_TOKS} SELECT chapter, pos, {_around('pos')} FROM (SELECT *, (len(t) // 2)::INT AS pos FROM docs)",
 }
