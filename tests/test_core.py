@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import cli
-from weftgraph.functions import text
+from weftgraph.functions import text, wikitext
 from weftgraph.functions.wikitext import Dims, Link, Template, parse, plain, record
 from weftgraph.operators import delta, entities, graph, kin, lexicon, mentions, runs, views
 from weftgraph.operators.components import components
@@ -297,9 +297,45 @@ def test_commands(spark, tmp_path):
     assert len(run("analyze", "relatives")) == 4 and len(run("analyze", "relatives", "--world", "w", "--format", "json")) == 1
     spark.createDataFrame([("one/a", "1", "Ann met Bob and Ann saw Bob. " * 3), ("one/b", "2", "Cy and Dee and Bob")], "key string, chapter string, text string").write.parquet(root + "/chapters.parquet")
     assert run("disambiguate", "one") == [root + "/pending.parquet"]
+    assert run("list", "worlds") == ["w"] and run("list", "books") == ["one"] and run("list", "keys") == ["one", "one/a", "one/b"]
+    (tmp_path / "answers.json").write_text('[{"key": "one/a", "chapter": "1", "pos": 0, "char_id": 2}, {"key": "one/a", "chapter": "1", "pos": 3, "char_id": 99}]')
+    run("disambiguate", "one", "--answers", str(tmp_path / "answers.json"))
+    (tmp_path / "answers.json").write_text('[{"key": "one/a", "chapter": "1", "pos": 0, "char_id": 1}]')
+    run("disambiguate", "one", "--answers", str(tmp_path / "answers.json"))
+    assert sorted(map(tuple, graphs.stored_resolution(spark, root + "/resolution").collect())) == [("one/a", "1", 0, 1), ("one/a", "1", 3, 99)]
     out = run("analyze", "interactions", "one", "--format", "json")
     nodes, e = graphs.read_nodelink(spark, out[0])
     assert e.count() >= 1 and nodes.count() >= 2
     assert len(run("analyze", "interactions", "all", "--discretize", "--format", "gml")) == 2
     assert run("show", "gml") == [root + "/graphs/gml"] and run("cleanup", "gml", "logs")
     assert run("refresh", "list") == ["characters"]
+
+
+def test_recalled_and_default_answers(spark):
+    found = spark.createDataFrame([("one", "1", 100, p, 1, k, ids, m) for p, k, ids, m in ((0, 1, [1, 2], "Ann"), (3, 1, [1, 2], "Ann"), (6, 0, [], "King"), (9, 1, [2], "Bob"))], "key string, chapter string, n_tokens int, pos int, step int, kind int, ids array<bigint>, moniker string")
+    answers = spark.createDataFrame([("one", "1", 0, 99)], "key string, chapter string, pos int, char_id bigint")
+    who = spark.createDataFrame([(1,), (2,)], "id bigint")
+    usual = spark.createDataFrame([("Ann", 2), ("King", 1)], "moniker string, char_id bigint")
+    known = mentions.recalled(mentions.with_defaults(answers, found, usual), who)
+    got = {r["pos"]: (r["hit"], r["open"]) for r in mentions.resolved(found, known).collect()}
+    assert got == {0: (None, False), 3: (2, False), 6: (None, True), 9: (2, False)}
+
+
+def test_books(spark, tmp_path):
+    for key in ("a", "a/b", "c"):
+        (tmp_path / key / "text x").mkdir(parents=True)
+        (tmp_path / key / "text x" / "content.opf").write_text('<package><manifest><item id="c1" href="one.html" media-type="application/xhtml+xml"/><item id="toc" href="t.html" media-type="application/xhtml+xml"/></manifest></package>')
+        (tmp_path / key / "text x" / "one.html").write_text(f"<p>{key}</p>")
+        (tmp_path / key / "text x" / "t.html").write_text("<p>no</p>")
+    got = pages.chapters(spark, str(tmp_path), {"a": r"c\d", "a/b": "toc", "c": None}).collect()
+    assert sorted(map(tuple, got)) == [("a", "c1", "a"), ("a/b", "toc", "no")]
+
+
+def test_wikitext_in_one_pass():
+    many = 10_000
+    assert wikitext.parse("{{a|" * many) == ["{{a|" * many]
+    deep = wikitext.parse("{{a|" * many + "}}" * many)
+    assert len(deep) == 1 and sum(1 for _ in wikitext.walk(deep)) == many
+    got = wikitext.parse("x {{a|b=c=d|[[t|s]]|{{z}}}} {{open|[[u]]")
+    assert got == ["x ", wikitext.Template("a", [("b", ["c=d"]), (None, [wikitext.Link("t", "s")]), (None, [wikitext.Template("z")])]), " {{open|", wikitext.Link("u")]
+    assert wikitext.parse("[[a {{b}} | c") == ["[[a ", wikitext.Template("b"), " | c"]

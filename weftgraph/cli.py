@@ -1,10 +1,13 @@
 """Commands: ``python -m weftgraph.cli --root DIR ...`` over tables kept under one folder.
 
     refresh characters SNAPSHOT      flatten a new snapshot, log what changed, keep it
+    chapters FOLDER                  texts of the books below a folder, by the table of patterns in --dims
+    list worlds|books|families|keys  what --world, --book, --family and KEY may be
     show|cleanup COMPONENT...        paths of what has been made; cleanup deletes them
     analyze relatives                kinship graphs by scope, or of a --world, --book or --family
     analyze interactions KEY         co-occurrence graph of a key, all keys below it, or ``all``; --discretize by chapter
-    disambiguate KEY                 open questions of a key and the keys below it, as a table to be answered
+    disambiguate KEY                 open questions of a key and the keys below it, as a table to be answered;
+                                     with --answers FILE, take (key, chapter, pos, char_id) in first
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .functions.wikitext import Dims
 from .operators import delta, entities, graph, kin, lexicon, mentions, runs
+from .operators.components import written
 from .schemas import MIN_WEIGHT
 from .session import session
 from .sources import graphs, pages
@@ -33,9 +37,13 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("refresh")
     p.add_argument("what", choices=["list", "characters"])
     p.add_argument("snapshot", nargs="?")
+    sub.add_parser("chapters").add_argument("folder")
+    sub.add_parser("list").add_argument("what", choices=["worlds", "books", "families", "keys"])
     sub.add_parser("show").add_argument("what", choices=sorted(PARTS))
     sub.add_parser("cleanup").add_argument("what", nargs="+", choices=["all", *sorted(PARTS)])
-    sub.add_parser("disambiguate").add_argument("key")
+    p = sub.add_parser("disambiguate")
+    p.add_argument("key")
+    p.add_argument("--answers")
     a = sub.add_parser("analyze").add_subparsers(dest="kind", required=True)
     p = a.add_parser("relatives")
     p.add_argument("--format", choices=["gml", "json", "all"], default="all")
@@ -58,8 +66,12 @@ def write(nodes, edges, where: str, form: str, root: str) -> list[str]:
     return done
 
 
+def dims_of(args) -> Dims:
+    return Dims(**json.load(open(args.dims, encoding="utf-8"))) if args.dims else Dims()
+
+
 def people(spark: SparkSession, args):
-    dims = Dims(**json.load(open(args.dims, encoding="utf-8"))) if args.dims else Dims()
+    dims = dims_of(args)
     return entities.entities(pages.load(spark, f"{args.root}/pages.parquet"), dims, args.universe), dims
 
 
@@ -76,11 +88,25 @@ def refresh(spark: SparkSession, args) -> list[str]:
     return [*done, at]
 
 
+def answered(found, resolution, who, dims: Dims):
+    """``resolution`` without ids that no entity has, and with the default answers."""
+    usual = found.sparkSession.createDataFrame(list(dims.defaults.items()), "moniker string, char_id bigint")
+    return mentions.recalled(mentions.with_defaults(resolution, found, usual), who)
+
+
+def chapters(spark: SparkSession, args) -> list[str]:
+    out = f"{args.root}/chapters.parquet"
+    pages.chapters(spark, args.folder, dims_of(args).chapters).write.mode("overwrite").parquet(out)
+    return [out]
+
+
 def interactions(spark: SparkSession, args, chapters, resolution=None) -> list[str]:
     """``chapters`` (key, chapter, text) of the key and what is below it; without open questions only."""
     who, dims = people(spark, args)
     found = mentions.mentions(mentions.ngrams(chapters), mentions.candidates(lexicon.build(who), who), list(dims.titles))
-    pairs = runs.pairs(runs.runs(mentions.resolved(found, resolution)))
+    found = written(found)
+    resolution = graphs.stored_resolution(spark, f"{args.root}/resolution") if resolution is None else resolution
+    pairs = written(runs.pairs(runs.runs(mentions.resolved(found, answered(found, resolution, who, dims)))))
     nodes = entities.properties(who)
     if args.discretize:
         out = []
@@ -115,14 +141,31 @@ def below(chapters, key: str):
 def disambiguate(spark: SparkSession, args) -> list[str]:
     who, dims = people(spark, args)
     chapters = below(pages.load(spark, f"{args.root}/chapters.parquet"), args.key)
-    known = pages.load(spark, f"{args.root}/resolution") if pages.exists(spark, f"{args.root}/resolution") else None
-    known = known if known is not None else spark.createDataFrame([], "key string, chapter string, pos int, char_id bigint")
+    at = f"{args.root}/resolution"
+    if args.answers:
+        new = pages.load(spark, args.answers).selectExpr("cast(key as string) key", "cast(chapter as string) chapter", "cast(pos as int) pos", "cast(char_id as bigint) char_id")
+        same = graphs.stored_resolution(spark, at).join(new.select("key", "chapter").distinct(), ["key", "chapter"], "left_semi")
+        graphs.write_resolution(written(mentions.merged(same, new)), at)
+    known = graphs.stored_resolution(spark, at)
     found = mentions.mentions(mentions.ngrams(chapters), mentions.candidates(lexicon.build(who), who), list(dims.titles))
     out = f"{args.root}/pending.parquet"
-    mentions.pending(found, known, chapters).write.mode("overwrite").parquet(out)
+    found = written(found)
+    mentions.pending(found, answered(found, known, who, dims), chapters).write.mode("overwrite").parquet(out)
     return [out]
 
 
+def listed(spark: SparkSession, args) -> list[str]:
+    """Values to choose from: of the entities' fields, or the chapters' keys and what these start with."""
+    if args.what == "keys":
+        parts = F.split("key", "/")
+        keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        found = pages.load(spark, f"{args.root}/chapters.parquet").select(F.explode(keys).alias("v"))
+    else:
+        who, _ = people(spark, args)
+        found = who.select({"worlds": F.col("world"), "families": F.col("family"), "books": F.explode("books")}[args.what].alias("v"))
+    return [r[0] for r in found.where("v is not null").distinct().orderBy("v").collect()]
+
+
 def cleanup(spark: SparkSession, args) -> list[str]:
     done = []
     for part in sorted(PARTS) if "all" in args.what else args.what:
@@ -139,11 +182,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     else:
         spark = spark or session()
         if args.command == "analyze" and args.kind == "interactions":
-            where = f"{args.root}/resolution"
-            known = pages.load(spark, where) if pages.exists(spark, where) else None
-            out = interactions(spark, args, below(pages.load(spark, f"{args.root}/chapters.parquet"), args.key), known)
+            out = interactions(spark, args, below(pages.load(spark, f"{args.root}/chapters.parquet"), args.key))
         else:
-            todo = {"refresh": refresh, "cleanup": cleanup, "disambiguate": disambiguate, "analyze": relatives}
+            todo = {"refresh": refresh, "chapters": chapters, "list": listed, "cleanup": cleanup, "disambiguate": disambiguate, "analyze": relatives}
             out = todo[args.command](spark, args)
     print("\n".join(out))
     return out

@@ -205,6 +205,10 @@ class Dims:
     kinds: dict[str, str] = field(default_factory=dict)
     residences: dict[str, str] = field(default_factory=dict)
     ethnicities: dict[str, str] = field(default_factory=dict)
+    #: Patterns that the ids of a key's chapters start with; null for a key without chapters.
+    chapters: dict[str, str | None] = field(default_factory=dict)
+    #: The entity that a moniker of several means unless an answer says otherwise.
+    defaults: dict[str, int] = field(default_factory=dict)
 
 
 def record(content: str, dims: Dims, box: str = "character") -> dict:

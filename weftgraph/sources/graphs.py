@@ -143,6 +143,14 @@ def read_resolution(spark: SparkSession, path: str, key: str, strict: bool = Tru
     return chapters, spark.createDataFrame(rows, "key string, chapter string, pos int, char_id bigint")
 
 
+def stored_resolution(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_resolution`` has written; empty where there is nothing.  Keys and chapters stay strings."""
+    from .pages import exists
+
+    schema = "key string, chapter string, pos int, char_id bigint"
+    return spark.read.schema(schema).parquet(path).select("key", "chapter", "pos", "char_id") if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def write_resolution(rows: DataFrame, path: str) -> None:
     """By (key, chapter), so that a chapter is replaced without touching the others."""
     rows.repartition("key", "chapter").sortWithinPartitions("key", "chapter", "pos").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key", "chapter").parquet(path)

@@ -136,3 +136,25 @@ def manifest(opf: Column, pattern: Column) -> Column:
     ids = F.xpath(flat_, F.lit('//item[@media-type="application/xhtml+xml"]/@id'))
     hrefs = F.xpath(flat_, F.lit('//item[@media-type="application/xhtml+xml"]/@href'))
     return F.filter(F.arrays_zip(ids.alias("id"), hrefs.alias("href")), lambda x: F.regexp_like(x["id"], F.concat(F.lit("^(?:"), pattern, F.lit(")"))))
+
+
+def chapters(spark: SparkSession, books: str, patterns: dict[str, str | None]) -> DataFrame:
+    """(key, chapter, text) of the books that lie in folders below ``books`` named by key, from their package files.
+
+    A package belongs to the longest key that leads to it; keys whose pattern is null, and packages of no key, have no chapters.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(books)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+
+    def files(glob: str) -> DataFrame:
+        found = spark.read.text(books, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+        path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+        return found.select(path.alias("path"), F.col("value"))
+
+    keys = spark.createDataFrame(list(patterns.items()), "key string, pattern string")
+    packages = files("*.opf").withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    own = packages.join(keys, F.concat("folder", F.lit("/")).startswith(F.concat(F.lit(root + "/"), "key", F.lit("/"))))
+    own = own.groupBy("path", "folder").agg(F.max_by(F.struct("key", "pattern", "value"), F.length("key")).alias("b")).select("folder", "b.*").where("pattern is not null")
+    items = own.select("key", "folder", F.explode(manifest(F.col("value"), F.col("pattern"))).alias("item"))
+    items = items.select("key", F.col("item.id").alias("chapter"), F.concat_ws("/", "folder", "item.href").alias("path"))
+    return items.join(files("*html"), "path").select("key", "chapter", paragraphs(F.col("value")).alias("text"))
