@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from . import trie
 from .common import scratch
 from .graph import blocked, by_group, components
-from .shingles import _BACK, _BASE, mixed, powers, together
+from .shingles import _BACK, _BASE, mixed, powers
+from .shingles import together as together_up_to
 
 PERCENT, WINDOW = 80, 8
 BANDS, ROWS = 10, 4
@@ -47,9 +48,15 @@ HELD = 1 << 22
 PAIRS = 4096
 #: Bits of the table of wanted lines, 64 in a row.
 BITS = 24
+#: Texts are worked on together up to so many characters, so that the arrays stay in the processor's cache.
+CHUNK = 1 << 17
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
+def together(texts: list):
+    return together_up_to(texts, CHUNK)
+
+
 @lru_cache(1)
 def alphabet() -> np.ndarray:
     """Whether a code point is a letter or digit."""
