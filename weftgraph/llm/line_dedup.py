@@ -357,7 +357,11 @@ def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text
     star = star.join(label("k"), "k", "left").join(label("pivot"), "pivot", "left")
     star = star.select("band", "k", "pivot", F.coalesce("root_k", "k").alias("root"), F.coalesce("root_pivot", "pivot").alias("top"))
     star = scratch(star)
-    mixed_bands = star.groupBy("band").agg(F.max((F.col("root") != F.col("top")).cast("int")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed = 1 and n > 1").select("band")
+    # Bands that hold the same lines are compared once; two hashes of 64 bits and a count tell the sets apart.
+    own = star.groupBy("band", "pivot").agg(
+        F.max((F.col("root") != F.col("top")).cast("int")).alias("mixed"), F.count(F.lit(1)).alias("n"), F.bit_xor("k").alias("x"), F.bit_xor(F.xxhash64("k")).alias("y")
+    )
+    mixed_bands = own.where("mixed = 1 and n > 1").groupBy("pivot", "n", "x", "y").agg(F.min("band").alias("band")).select("band")
     star = star.join(mixed_bands, "band", "left_semi")
     among = star.select("band", "k", "root").unionByName(star.select("band", F.col("pivot").alias("k"), F.col("top").alias("root")).distinct())
     among = scratch(among.join(texts.select("k", F.length("form").alias("size")), "k"))
