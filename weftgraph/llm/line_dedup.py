@@ -382,8 +382,10 @@ def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PE
     found = scratch(scanned(docs, id_col, text_col))
     lines = found.where("bands is null").select("id", "fp", "place", "line", "h", "k", "size")
     linked = groups(docs, lines, scratch(starred(found.where("bands is not null"))), id_col, text_col, percent)
-    once = lines.groupBy("id", "fp", "line", "h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
-    each = scratch(once.join(linked, "h", "left").select("id", "fp", "line", "place", "times", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root")))
+    # A line that occurs once and is like no other stays; the rest of the way is without it.
+    again = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    roots = again.join(linked, "h", "full").select("h", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root"))
+    each = scratch(lines.join(roots, "h").groupBy("id", "fp", "line", "root").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times")))
     own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
     stays = each.groupBy("root").agg(F.min(own).alias("at"), F.sum("times").alias("n")).where("n > 1")
     gone = each.join(stays, "root").withColumn("goes", own != F.col("at"))
