@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: one line of each group of lines that are alike stays.
 
 1. A line's letters and digits, lower-cased, are its normal form; its windows of WINDOW characters are its shingles.  One
-   pass over the texts gives each line's 128-bit hash and its signature: one-permutation MinHash, the least hash in each
+   pass over the texts gives each line's 128-bit hash, in two halves, and its signature: one-permutation MinHash, the least hash in each
    of BANDS * ROWS bins, empty bins filled from others at random (Shrivastava, 2017).  Each task sends a band's value and a line only once, so a line
    that a third of all documents have is one row a task.
 2. Lines that agree in a band are candidates: each is paired with the least of its band, and these pairs are verified by
@@ -171,14 +171,14 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: lines (id, fp, place, line, h, k, size), and a task's different lines with the values of their bands (k, bands)."""
+    """Rows of two kinds: lines (id, fp, place, line, k, k2), and a task's different lines with the values of their bands (k, bands)."""
     slim = rows_of(docs, id_col, text_col)
     schema = T.StructType(
-        [slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
-        + [T.StructField(n, T.LongType()) for n in ("k", "size")]
+        [slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("line", T.IntegerType())]
+        + [T.StructField(n, T.LongType()) for n in ("k", "k2")]
         + [T.StructField("bands", T.ArrayType(T.LongType()))]
     )
-    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches):
         bands: list[np.ndarray] = []
@@ -205,16 +205,15 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = [text_of(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             for start, end in together(texts):
                 form, at, counts = normal_lines(texts[start:end])
-                size = np.diff(at)
                 doc = np.repeat(np.arange(end - start), counts)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-                use = np.flatnonzero(size)
+                use = np.flatnonzero(np.diff(at))
                 if not len(use):
                     continue
                 a, b = at[:-1][use], at[1:][use]
                 k, k2 = line_hashes(form, a, b)
                 pick = pa.array(doc[use] + start)
-                yield rows(len(use), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), place=batch.column(3).take(pick), line=number[use].astype(np.int32), h=both_halves(k, k2), k=k.view(np.int64), size=size[use])
+                yield rows(len(use), id=batch.column(0).take(pick), fp=batch.column(1).take(pick), place=batch.column(3).take(pick), line=number[use].astype(np.int32), k=k.view(np.int64), k2=k2.view(np.int64))
                 fuzzy = b - a >= WINDOW
                 if not fuzzy.any():
                     continue
@@ -344,7 +343,7 @@ def forms(docs: DataFrame, lines: DataFrame, ends: DataFrame, id_col: str, text_
 
 
 def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(h, root) of the lines that are like another one."""
+    """(k, k2, root) of the lines that are like another one."""
     pairs = star.select("k", "pivot").distinct()
     ends = pairs.select("k").unionByName(pairs.select(F.col("pivot").alias("k"))).distinct()
     texts = scratch(forms(docs, lines, ends, id_col, text_col))
@@ -373,22 +372,24 @@ def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text
         found = found.unionByName(final.select(F.col("root").alias("k"), "root")).dropDuplicates(["k"])
         found = found.join(final, "root", "left").select("k", F.coalesce("last", "root").alias("root"))
     # One line for each k: another with the same 64 bits, should there be one, was not compared.
-    return lines.select("k", "h").join(found, "k").groupBy("k", "root").agg(F.min("h").alias("h")).select("h", "root")
+    return lines.select("k", "k2").join(found, "k").groupBy("k", "root").agg(F.min("k2").alias("k2"))
 
 
 def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, fp, first, lines, all): by document, the place of its first row, the numbers of the lines that go from it, and
     of all that have a letter or digit, which go from rows that repeat it; the last is null where there are none."""
     found = scratch(scanned(docs, id_col, text_col))
-    lines = found.where("bands is null").select("id", "fp", "place", "line", "h", "k", "size")
+    lines = found.where("bands is null").select("id", "fp", "place", "line", "k", "k2")
     linked = groups(docs, lines, scratch(starred(found.where("bands is not null"))), id_col, text_col, percent)
     # A line that occurs once and is like no other stays; the rest of the way is without it.
-    again = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    roots = again.join(linked, "h", "full").select("h", F.coalesce(F.concat(F.lit("k"), F.col("root").cast("string")), F.hex("h")).alias("root"))
-    each = scratch(lines.join(roots, "h").groupBy("id", "fp", "line", "root").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times")))
+    again = lines.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A group is named by its root, or else by both halves of its one line's hash.
+    roots = again.join(linked, ["k", "k2"], "full").select("k", "k2", F.coalesce("root", "k").alias("root"), F.when(F.col("root").isNull(), F.col("k2")).alias("half"))
+    each = scratch(lines.join(roots, ["k", "k2"]).groupBy("id", "fp", "line", "root", "half").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times")))
     own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
-    stays = each.groupBy("root").agg(F.min(own).alias("at"), F.sum("times").alias("n")).where("n > 1")
-    gone = each.join(stays, "root").withColumn("goes", own != F.col("at"))
+    stays = each.groupBy("root", "half").agg(F.min(own).alias("at"), F.sum("times").alias("n")).where("n > 1")
+    same = (F.col("each.root") == F.col("stays.root")) & F.col("each.half").eqNullSafe(F.col("stays.half"))
+    gone = each.alias("each").join(stays.alias("stays"), same).select("each.*", "at").withColumn("goes", own != F.col("at"))
     gone = gone.where("goes or times > 1").groupBy("id", "fp").agg(F.min("place").alias("first"), F.collect_set(F.when(F.col("goes"), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("times") > 1, F.col("line"))).alias("all"))
     return scratch(gone.withColumn("all", F.when(F.size("all") > 0, F.col("all"))))
 
