@@ -87,11 +87,10 @@ def windows(form: np.ndarray) -> np.ndarray:
     """Hashes of all windows of the code points."""
     if len(form) < WINDOW:
         return np.empty(0, np.uint64)
-    wide = form.astype(np.uint64)
-    h = wide[: len(form) - WINDOW + 1].copy()
-    for k in range(1, WINDOW):
-        h *= np.uint64(0x9FB21C651E98DF25)
-        h += wide[k : len(form) - WINDOW + 1 + k]
+    h, base = form.astype(np.uint64), 0x9FB21C651E98DF25
+    for width in (1 << k for k in range(WINDOW.bit_length() - 1)):  # two neighbours of half the length make one; WINDOW is a power of 2
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base = base * base % 2**64
     return mixed(h)
 
 
@@ -120,11 +119,6 @@ def line_hashes(form: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return out[0], out[1]
 
 
-def both_halves(k: np.ndarray, k2: np.ndarray) -> pa.Array:
-    raw = np.stack([k, k2], axis=1).tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(raw)]).cast(pa.binary())
-
-
 @lru_cache(1)
 def probes() -> np.ndarray:
     """Where an empty bin looks for a value, one bin after the other: at random places first, so that the bins of a band
