@@ -298,28 +298,36 @@ def rest(percent: int):
 def forms(docs: DataFrame, lines: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, form) of the lines whose hashes are in ``ends`` (k): each is read again from one text that has it.
 
-    A table of BITS bits, which doesn't grow with the data, tells of most other lines that they aren't wanted before
-    they leave Python; the join that follows is exact.
+    Tables of BITS bits, which don't grow with the data, tell of most other texts and lines that they aren't wanted, before
+    they are taken apart or leave Python; the join that follows is exact.
     """
     spark = docs.sparkSession
-    once = lines.select("k", F.xxhash64("id", "fp").alias("doc"), "line").join(ends, "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("at"))
+    once = scratch(lines.select("k", F.xxhash64("id", "fp").alias("doc"), "line").join(ends, "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("at")).select("at"))
+
+    def bits(spot):
+        words = once.select(F.shiftrightunsigned(spot, 64 - BITS + 6).alias("word"), F.shiftrightunsigned(spot, 64 - BITS).bitwiseAND(63).cast("int").alias("bit"))
+        words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        table = np.zeros(1 << (BITS - 6), np.int64)
+        table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        return spark.sparkContext.broadcast(table.view(np.uint64))
+
+    def wanted(sent, spot):
+        spot = spot >> np.uint64(64 - BITS)
+        return sent.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1) == 1
+
     spot = F.col("at.doc").bitwiseXOR(F.shiftleft(F.col("at.line").cast("long"), 64 - BITS))
-    words = once.select(F.shiftrightunsigned(spot, 64 - BITS + 6).alias("word"), F.shiftrightunsigned(spot, 64 - BITS).bitwiseAND(63).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(table.view(np.uint64))
+    by_text, by_line = bits(F.col("at.doc")), bits(spot)
 
     def run(batches):
         for batch in batches:
-            texts = [text_of(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             docs_at = batch.column(0).to_numpy().view(np.uint64)
+            here = wanted(by_text, docs_at)
+            texts, docs_at = [text_of(x) for x in batch.column(1).filter(pa.array(here)).cast(pa.binary()).to_pylist()], docs_at[here]
             for start, end in together(texts):
                 form, at, counts = normal_lines(texts[start:end])
                 number = np.arange(len(at) - 1) - np.repeat(np.cumsum(counts) - counts, counts)
-                spot = (np.repeat(docs_at[start:end], counts) ^ number.astype(np.uint64) << np.uint64(64 - BITS)) >> np.uint64(64 - BITS)
-                likely = sent.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)
-                use = np.flatnonzero((np.diff(at) >= WINDOW) & (likely == 1))
+                likely = wanted(by_line, np.repeat(docs_at[start:end], counts) ^ number.astype(np.uint64) << np.uint64(64 - BITS))
+                use = np.flatnonzero((np.diff(at) >= WINDOW) & likely)
                 if not len(use):
                     continue
                 a, b = at[:-1][use], at[1:][use]
