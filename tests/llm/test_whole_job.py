@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from tests.llm import brute
-from weftgraph.llm import licences, line_dedup, ngram_join, sharding
+from weftgraph.llm import licences, line_dedup, ngram_join, sharding, trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +134,32 @@ def test_sharding_reports_the_files_that_were_written(spark, monkeypatch):
     stay = sum(size(r) for r in files if r["old_shard"] == r["shard"])
     best = sum(min(sum(size(r) for r in files if r["old_shard"] == i), total // 24) for i in range(16))
     assert abs(stay - best) <= 16 * most
+
+
+def test_both_ways_of_comparing_lines_agree():
+    random = np.random.Generator(np.random.PCG64(5))
+    for n in (2, 5, 30):
+        base = random.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.append(base[random.random(60) > random.random() / 4], random.integers(0, 1 << 60, random.integers(1, 9)).astype(np.uint64))) for _ in range(n)]
+        side = random.integers(0, n, n)
+        owner = np.repeat(np.arange(n), [len(x) for x in sets])
+        repeated = np.concatenate([np.concatenate(sets), sets[0]]), np.append(owner, np.zeros(len(sets[0]), int))
+        assert line_dedup.few_joined(*repeated, n, side, 80).tolist() == trie.joined(sets, 80, side)[0].tolist()
+
+
+def test_stars_of_bands_do_not_depend_on_buckets(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"line number {i % 40} of those that are nearly alike\nother line {i // 3} of some length, too") for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+
+    def bands():
+        star = line_dedup.starred(line_dedup.scanned(docs, "doc_id", "text").where("bands is not null")).collect()
+        found = {}
+        for r in star:
+            found.setdefault(r["band"] & 0xFFFFFFFF, set()).update((r["k"], r["pivot"]))
+        return sorted(map(sorted, found.values()))
+
+    monkeypatch.setattr(line_dedup, "bucket_bits", lambda docs: 3)
+    few = bands()
+    monkeypatch.setattr(line_dedup, "bucket_bits", lambda docs: 20)
+    monkeypatch.setattr(line_dedup, "HELD", 50)
+    assert bands() == few and few

@@ -4,7 +4,7 @@
    pass over the texts gives each line's 128-bit hash, in two halves, and its signature: one-permutation MinHash, the least hash in each
    of BANDS * ROWS bins, empty bins filled from others at random (Shrivastava, 2017).  Each task sends a band's value and a line only once, so a line
    that a third of all documents have is one row a task.
-2. Lines that agree in a band are candidates: each is paired with the least of its band, and these pairs are verified by
+2. Lines that agree in a band are candidates: each is paired with one of its band, and these pairs are verified by
    the exact Jaccard coefficient of whole sets (100 * intersection >= PERCENT * union).  Union-find over the pairs that hold gives groups; work is
    linear, however many near copies of a line there are.
 3. What is left are bands whose lines lie in several groups.  There, lines of different groups are compared exactly (a band over a
@@ -25,7 +25,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,7 +58,7 @@ def together(texts: list):
 @lru_cache(1)
 def alphabet() -> np.ndarray:
     """Whether a code point is a letter or digit."""
-    return np.array([chr(c).isalnum() for c in range(0x110000)])
+    return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def text_of(raw: bytes | None) -> str:
@@ -163,15 +162,23 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"), F.monotonically_increasing_id().alias("place")).where("text is not null")
 
 
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of the buckets that bands are dealt to: a bucket for every 16 KB of the table, by the planner's statistics; any number gives the same result."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max((size >> 14).bit_length(), 8), 28)
+
+
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: lines (id, fp, place, line, k, k2), and a task's different lines with the values of their bands (k, bands)."""
+    """Rows of two kinds: lines (id, fp, place, line, k, k2), and a task's different lines by the values of
+    their bands (bucket, bands, ks): 32 bits of each value, next to those that make the bucket, and the lines' k, as bytes."""
     slim = rows_of(docs, id_col, text_col)
+    bits = bucket_bits(slim)
     schema = T.StructType(
         [slim.schema["id"], T.StructField("fp", T.LongType()), T.StructField("place", T.LongType()), T.StructField("line", T.IntegerType())]
-        + [T.StructField(n, T.LongType()) for n in ("k", "k2")]
-        + [T.StructField("bands", T.ArrayType(T.LongType()))]
+        + [T.StructField(n, T.LongType()) for n in ("k", "k2", "bucket")]
+        + [T.StructField(n, T.BinaryType()) for n in ("bands", "ks")]
     )
-    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [None, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         bands: list[np.ndarray] = []
@@ -187,11 +194,16 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def members():
             key, which = np.unique(np.concatenate(keys), return_index=True)
-            band = np.concatenate(bands)[which]
-            for at in range(0, len(key), 1 << 13):
-                part = band[at : at + (1 << 13)]
-                ends = pa.array(np.arange(0, part.size + 1, BANDS, dtype=np.int32))
-                yield rows(len(part), k=key[at : at + (1 << 13)].view(np.int64), bands=pa.ListArray.from_arrays(ends, pa.array(part.ravel().view(np.int64))))
+            band = (np.concatenate(bands)[which] & np.uint64((1 << 32 + bits) - 1)).ravel()
+            order = np.argsort(band)
+            band, key = band[order], key[order // BANDS]
+            bucket = (band >> np.uint64(32)).view(np.int64)
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(starts, len(band))
+            blobs = [pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (band.astype(np.uint32), key)]
+            for at in range(0, len(starts), 1 << 12):
+                part = pa.array(bucket[starts[at : at + (1 << 12)]])
+                yield rows(len(part), bucket=part, bands=blobs[0].slice(at, len(part)), ks=blobs[1].slice(at, len(part)))
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -225,12 +237,33 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def starred(members: DataFrame) -> DataFrame:
-    """(band, k, pivot) for each line of a band but its least, the pivot, from (k, bands).
+    """(band, k, pivot) for each line of a band but one, the pivot, from (bucket, bands, ks).
 
-    Bands are sorted and their least lines found in the JVM, spilling where a band is large; all but a few bands have one line.
+    Buckets are read as a sorted stream.  What is kept of the last one is a line for each of its bands, so that a band is never held
+    whole; there are as many buckets as the size of the table asks for.  Whichever line is the pivot, the same pairs are found in the end.
     """
-    dealt = members.select("k", F.explode("bands").alias("band"))
-    return dealt.withColumn("pivot", F.min("k").over(W.partitionBy("band"))).where("k <> pivot").select("band", "k", "pivot").distinct()
+
+    def run(batches):
+        band, k = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = batch.column(1).to_pylist()
+            bucket = np.repeat(batch.column(0).to_numpy(), np.array([len(x) for x in raw]) // 4)
+            band = np.append(band, bucket << 32 | np.frombuffer(b"".join(raw), np.uint32))
+            k = np.append(k, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64))
+            order = np.argsort(band, kind="stable")
+            band, k = band[order], k[order]
+            starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            pivot = np.repeat(k[starts], np.diff(np.append(starts, len(k))))
+            use = np.flatnonzero(k != pivot)
+            if len(use):
+                yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (band, k, pivot)], names=["band", "k", "pivot"])
+            starts = starts[band[starts] >> 32 == bucket[-1]]
+            band, k = band[starts], k[starts]
+
+    dealt = members.select("bucket", "bands", "ks").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "band bigint, k bigint, pivot bigint").distinct()
 
 
 def alike(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
