@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.components import removed, shared_dir
+from ..operators.components import _put, removed, shared_dir
 from ..operators.components import written as scratch
 
-__all__ = ["SPACE", "bucket_of", "n_words", "removed", "running", "scratch", "shared_dir", "words_of"]
+__all__ = ["SPACE", "bucket_of", "n_words", "removed", "running", "scratch", "scratch_until", "shared_dir", "words_of"]
 
 #: A word is a longest run of characters other than space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 
 
+@contextmanager
+def scratch_until(spark: SparkSession):
+    """A function like ``scratch`` whose tables are removed at the end of the block; what is made of them has to be written by then."""
+    paths = []
+
+    def put(df: DataFrame) -> DataFrame:
+        table, path = _put(df)
+        paths.append(path)
+        return table
+
+    try:
+        yield put
+    finally:
+        for path in paths:
+            removed(spark, path)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     pieces = F.size(F.split(text, SPACE + "+"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import trie
-from .common import scratch
+from .common import scratch, scratch_until
 from .graph import blocked, by_group, components
 from .shingles import _BACK, _BASE, mixed, powers
 from .shingles import together as together_up_to
@@ -326,14 +326,14 @@ def rest(percent: int):
     return then
 
 
-def forms(docs: DataFrame, lines: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def forms(docs: DataFrame, lines: DataFrame, ends: DataFrame, id_col: str, text_col: str, put=scratch) -> DataFrame:
     """(k, form) of the lines whose hashes are in ``ends`` (k): each is read again from one text that has it.
 
     Tables of BITS bits, which don't grow with the data, tell of most other texts and lines that they aren't wanted, before
     they are taken apart or leave Python; the join that follows is exact.
     """
     spark = docs.sparkSession
-    once = scratch(lines.select("k", F.xxhash64("id", "fp").alias("doc"), "line").join(ends, "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("at")).select("at"))
+    once = put(lines.select("k", F.xxhash64("id", "fp").alias("doc"), "line").join(ends, "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("at")).select("at"))
 
     def bits(spot):
         words = once.select(F.shiftrightunsigned(spot, 64 - BITS + 6).alias("word"), F.shiftrightunsigned(spot, 64 - BITS).bitwiseAND(63).cast("int").alias("bit"))
@@ -375,20 +375,20 @@ def forms(docs: DataFrame, lines: DataFrame, ends: DataFrame, id_col: str, text_
     return every.join(ends, "k", "left_semi").groupBy("k").agg(F.first("form").alias("form"))
 
 
-def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text_col: str, percent: int, put=scratch) -> DataFrame:
     """(k, k2, root) of the lines that are like another one."""
     pairs = star.select("k", "pivot").distinct()
     ends = pairs.select("k").unionByName(pairs.select(F.col("pivot").alias("k"))).distinct()
-    texts = scratch(forms(docs, lines, ends, id_col, text_col))
+    texts = put(forms(docs, lines, ends, id_col, text_col, put))
     x = pairs.join(texts.withColumnRenamed("form", "x"), "k")
     x = x.join(texts.select(F.col("k").alias("pivot"), F.col("form").alias("y")), "pivot")
     held = x.select("k", "pivot", "x", "y").mapInArrow(verified(percent), "a bigint, b bigint")
-    found = scratch(components(held).withColumnRenamed("node", "k"))
+    found = put(components(held).withColumnRenamed("node", "k"))
     # Bands whose lines lie in several groups; two lines were compared when they were verified.
     label = lambda name: found.select(F.col("k").alias(name), F.col("root").alias(f"root_{name}"))
     star = star.join(label("k"), "k", "left").join(label("pivot"), "pivot", "left")
     star = star.select("band", "k", "pivot", F.coalesce("root_k", "k").alias("root"), F.coalesce("root_pivot", "pivot").alias("top"))
-    star = scratch(star)
+    star = put(star)
     # Bands that hold the same lines are compared once; two hashes of 64 bits and a count tell the sets apart.
     own = star.groupBy("band", "pivot").agg(
         F.max((F.col("root") != F.col("top")).cast("int")).alias("mixed"), F.count(F.lit(1)).alias("n"), F.bit_xor("k").alias("x"), F.bit_xor(F.xxhash64("k")).alias("y")
@@ -396,9 +396,9 @@ def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text
     mixed_bands = own.where("mixed = 1 and n > 1").groupBy("pivot", "n", "x", "y").agg(F.min("band").alias("band")).select("band")
     star = star.join(mixed_bands, "band", "left_semi")
     among = star.select("band", "k", "root").unionByName(star.select("band", F.col("pivot").alias("k"), F.col("top").alias("root")).distinct())
-    among = scratch(among.join(texts.select("k", F.length("form").alias("size")), "k"))
+    among = put(among.join(texts.select("k", F.length("form").alias("size")), "k"))
     parts = blocked(among, "band", "k", ELEMENTS, "size").select("band", "i", "j", "k", "root")
-    more = scratch(by_group(parts.join(texts, "k"), ["band", "i", "j"], rest(percent), "a bigint, b bigint"))
+    more = put(by_group(parts.join(texts, "k"), ["band", "i", "j"], rest(percent), "a bigint, b bigint"))
     if not more.isEmpty():
         final = components(more).select(F.col("node").alias("root"), F.col("root").alias("last"))
         # Groups that are linked may be single lines, which ``found`` lacks.
@@ -411,20 +411,21 @@ def groups(docs: DataFrame, lines: DataFrame, star: DataFrame, id_col: str, text
 def dropped(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, fp, first, lines, all): by document, the place of its first row, the numbers of the lines that go from it, and
     of all that have a letter or digit, which go from rows that repeat it; the last is null where there are none."""
-    found = scratch(scanned(docs, id_col, text_col))
-    lines = found.where("bands is null").select("id", "fp", "place", "line", "k", "k2")
-    linked = groups(docs, lines, scratch(starred(found.where("bands is not null"))), id_col, text_col, percent)
-    # A line that occurs once and is like no other stays; the rest of the way is without it.
-    again = lines.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # A group is named by its root, or else by both halves of its one line's hash.
-    roots = again.join(linked, ["k", "k2"], "full").select("k", "k2", F.coalesce("root", "k").alias("root"), F.when(F.col("root").isNull(), F.col("k2")).alias("half"))
-    each = scratch(lines.join(roots, ["k", "k2"]).groupBy("id", "fp", "line", "root", "half").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times")))
-    own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
-    stays = each.groupBy("root", "half").agg(F.min(own).alias("at"), F.sum("times").alias("n")).where("n > 1")
-    same = (F.col("each.root") == F.col("stays.root")) & F.col("each.half").eqNullSafe(F.col("stays.half"))
-    gone = each.alias("each").join(stays.alias("stays"), same).select("each.*", "at").withColumn("goes", own != F.col("at"))
-    gone = gone.where("goes or times > 1").groupBy("id", "fp").agg(F.min("place").alias("first"), F.collect_set(F.when(F.col("goes"), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("times") > 1, F.col("line"))).alias("all"))
-    return scratch(gone.withColumn("all", F.when(F.size("all") > 0, F.col("all"))))
+    with scratch_until(docs.sparkSession) as put:
+        found = put(scanned(docs, id_col, text_col))
+        lines = found.where("bands is null").select("id", "fp", "place", "line", "k", "k2")
+        linked = groups(docs, lines, put(starred(found.where("bands is not null"))), id_col, text_col, percent, put)
+        # A line that occurs once and is like no other stays; the rest of the way is without it.
+        again = lines.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        # A group is named by its root, or else by both halves of its one line's hash.
+        roots = again.join(linked, ["k", "k2"], "full").select("k", "k2", F.coalesce("root", "k").alias("root"), F.when(F.col("root").isNull(), F.col("k2")).alias("half"))
+        each = put(lines.join(roots, ["k", "k2"]).groupBy("id", "fp", "line", "root", "half").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times")))
+        own = F.struct(F.col("id").isNotNull().alias("known"), "id", "fp", "line")
+        stays = each.groupBy("root", "half").agg(F.min(own).alias("at"), F.sum("times").alias("n")).where("n > 1")
+        same = (F.col("each.root") == F.col("stays.root")) & F.col("each.half").eqNullSafe(F.col("stays.half"))
+        gone = each.alias("each").join(stays.alias("stays"), same).select("each.*", "at").withColumn("goes", own != F.col("at"))
+        gone = gone.where("goes or times > 1").groupBy("id", "fp").agg(F.min("place").alias("first"), F.collect_set(F.when(F.col("goes"), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("times") > 1, F.col("line"))).alias("all"))
+        return scratch(gone.withColumn("all", F.when(F.size("all") > 0, F.col("all"))))
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
