@@ -226,7 +226,10 @@ class Pieces:
         find = self.memory.__getitem__ if SPACE not in text else self.two
         done = list(map(find, segments))
         total = sum([d[1] for d in done])
-        near = heapq.nsmallest(n - 1, [(d[2], k) for k, d in enumerate(done) if d[2] < float("inf")]) if n > 1 else []
+        near, gaps = [], [d[2] for d in done]
+        while len(near) < n - 1 and (least := min(gaps, default=float("inf"))) < float("inf"):
+            near.append((least, gaps.index(least)))
+            gaps[near[-1][1]] = float("inf")
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for _, k in near:
             own = self.nbest(segments[k], n)
