@@ -339,3 +339,42 @@ def test_wikitext_in_one_pass():
     got = wikitext.parse("x {{a|b=c=d|[[t|s]]|{{z}}}} {{open|[[u]]")
     assert got == ["x ", wikitext.Template("a", [("b", ["c=d"]), (None, [wikitext.Link("t", "s")]), (None, [wikitext.Template("z")])]), " {{open|", wikitext.Link("u")]
     assert wikitext.parse("[[a {{b}} | c") == ["[[a ", wikitext.Template("b"), " | c"]
+
+
+def test_walk_by_mentions_equals_walk_by_tokens():
+    def by_tokens(n, at, size):
+        idx = 0
+        while idx < n:
+            i, ids, first, end = 0, [], 0, min(size, n - idx)
+            while i < end:
+                step, hit, _ = at.get(idx + i, (1, None, False))
+                i += step
+                if hit is not None:
+                    if not ids:
+                        first = i
+                    ids.append(hit)
+            yield idx, ids
+            idx += first + 1 if len(ids) > 1 else first if ids else size - 1
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randint(0, 120)
+        at = {p: (rnd.randint(1, 3), rnd.choice([None, 1, 2, 3]), False) for p in range(n) if rnd.random() < rnd.choice([0.02, 0.2, 0.9])}
+        assert list(runs.walk(n, at)) == list(by_tokens(n, at, 25))
+
+
+def test_runs_read_many_chapters_at_a_time(spark, monkeypatch):
+    """A chapter may be cut by a batch, and a group of rows a chapter goes to Python no more."""
+    rows = [(k, str(c), 60, p, 1, p % 7, False) for k in ("a", "b", None) for c in range(40) for p in range(0, 60, 3)]
+    found = spark.createDataFrame(rows, "key string, chapter string, n_tokens int, pos int, step int, hit bigint, open boolean")
+    want = sorted((str(k), str(c), idx, sorted(set(ids))) for k in ("a", "b", None) for c in range(40) for idx, ids in runs.walk(60, {p: (1, p % 7, False) for p in range(0, 60, 3)}) if ids)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(runs, "BATCH", 11)
+    try:
+        out = runs.runs(found)
+        assert sorted((str(r["key"]), r["chapter"], r["idx"], list(r["members"])) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs.runs(found.limit(0)).count() == 0
