@@ -378,3 +378,22 @@ def test_runs_read_many_chapters_at_a_time(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert runs.runs(found.limit(0)).count() == 0
+
+
+def test_pages_are_dealt_out_and_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(k, f"P{k}", BOX) for k in range(50)], "pageid bigint, title string, content string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    flat = spark.read.parquet(str(tmp_path / "one"))
+    assert flat.rdd.getNumPartitions() == 1
+    found = entities.boxes(flat, Dims())
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 50
+    assert wikitext.plain(["a '' b"]) == "a  b" and wikitext.plain(["it's <b>c</b>", wikitext.Link("d")]) == "it's cd"
+
+
+def test_overrides_and_scopes_read_written_tables(spark):
+    from weftgraph.plans import graphs as plans
+    from weftgraph.plans import records
+
+    plan = records.entity_overrides(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan
+    plan = plans.graph_scopes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lineitem.parquet" not in plan and "l_partkey" not in plan

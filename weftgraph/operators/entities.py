@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +18,32 @@ _BOX = (
     "groups string, relatives map<string,array<string>>, blank boolean"
 )
 _NAMES = [c.split()[0] for c in _BOX.split(", ")]
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,array<string>>": pa.map_(pa.string(), pa.list_(pa.string()))}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in _BOX.split(", ")])
+#: Boxes that are given back at once.
+BATCH = 2000
 
 
 def boxes(pages: DataFrame, dims: Dims) -> DataFrame:
-    """What the infoboxes of (pageid, title, content) say."""
+    """What the infoboxes of (pageid, title, content) say.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Reading a box costs far more than moving a page, and snapshots lie in a few files, or in one; so the pages are dealt out first, in a
+    fixed number of parts, as Spark would merge small ones again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for pageid, title, content in zip(batch["pageid"], batch["title"], batch["content"], strict=True):
+            for pageid, title, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 got = record(content, dims) if content else {}
-                got |= {"id": pageid, "title": title, "blank": not content, "relatives": {k: got.get(k, []) for k in RELATIVES}}
+                got |= {"id": pageid, "title": title, "blank": not content, "relatives": [(k, got.get(k, [])) for k in RELATIVES]}
                 got["unnamed"], got["died"] = "unnamed" in got, "died" in got
                 rows.append([got.get(c) for c in _NAMES])
-            yield pd.DataFrame(rows, columns=_NAMES)
+            for at in range(0, len(rows), BATCH):
+                yield pa.record_batch([list(c) for c in zip(*rows[at : at + BATCH], strict=True)], schema=_ARROW)
 
-    return pages.select("pageid", "title", "content").mapInPandas(run, _BOX)
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.select("pageid", "title", "content").repartition(parts, "pageid").mapInArrow(run, _BOX)
 
 
 def entities(pages: DataFrame, dims: Dims, universe: str) -> DataFrame:
