@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.wikitext import Dims
 from ..operators import delta, entities, lexicon
+from ..operators.components import written
 from ..sources.pages import flat
 from .network import read
 
@@ -107,7 +108,7 @@ def entity_overrides(spark, sf_dir):
     rules = spark.createDataFrame(
         [("Brand#1", "append", "aliases", "One"), ("Brand#2", "drop", None, None), ("Brand#3", "set", "common_name", "Three"), ("Brand#4", "remove", "titles", "PROMO")], "world string, action string, field string, value string"
     )
-    who = entities.entities(pages(spark, sf_dir), DIMS, "tales")
+    who = written(entities.entities(pages(spark, sf_dir), DIMS, "tales"))  # read three times, parsed once
     named = who.select("name", "world").distinct().join(rules, "world")
     return entities.properties(entities.overridden(who, named)).select("id", "name", "nickname", F.array_join("aliases", "|").alias("aliases"), F.array_join("monikers", "|").alias("monikers"), "world")
 
