@@ -69,8 +69,9 @@ def labels(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component): the smallest id that each node is connected with.
 
-    ``edges`` are (src, dst); ``nodes`` (id) adds isolated ones.
+    ``edges`` are (src, dst), made once and written, as they are read by the rounds and for their ends; ``nodes`` (id) adds isolated ones.
     """
+    edges = written(edges.select("src", "dst"))
     out = labels(edges).select(F.col("node").alias("id"), F.col("root").alias("component"))
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
     alone = (ends if nodes is None else ends.unionByName(nodes.select("id"))).distinct().join(out, "id", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MIN_COMPONENT, MIN_WEIGHT
-from .components import components
+from .components import components, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -68,9 +68,11 @@ def scopes(nodes: DataFrame, edges: DataFrame, by: str = "world", least: int = M
 
     The graphs of all values are one graph: the edges whose ends agree in it.
     """
+    nodes, edges = written(nodes.select("id", by)), written(edges.select("src", "dst"))
     whole = large_components(nodes, edges, least).select(F.lit("all").alias("scope"), "id")
     ends = nodes.select("id", by)
     same = edges.join(ends.toDF("src", "w1"), "src").join(ends.toDF("dst", "w2"), "dst").where("w1 = w2").select("src", "dst")
+    same = written(same)
     own = large_components(nodes.where(F.col(by).isNotNull()), same, least).join(ends, "id").select(F.col(by).alias("scope"), "id")
     own = own.join(connected(ends, same).select(F.col(by).alias("scope")).distinct(), "scope", "left_semi")  # those with an edge at all
     return whole.unionByName(own)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, kin, views
 from ..operators.components import components as component_labels
+from ..operators.components import written
 from ..sources import graphs as files
 from .network import read
 
@@ -86,7 +87,7 @@ def graph_scopes(spark, sf_dir):
 
 def shared_taste(spark, sf_dir):
     """Customers linked with the first one who has the same favourite."""
-    f = favourites(spark, sf_dir).select(F.when(F.col("src") % 2 == 0, F.col("src")).otherwise(F.col("dst")).alias("c"), F.when(F.col("src") % 2 == 1, F.col("src")).otherwise(F.col("dst")).alias("p"))
+    f = written(favourites(spark, sf_dir)).select(F.when(F.col("src") % 2 == 0, F.col("src")).otherwise(F.col("dst")).alias("c"), F.when(F.col("src") % 2 == 1, F.col("src")).otherwise(F.col("dst")).alias("p"))
     first = f.groupBy("p").agg(F.min("c").alias("src"))
     return f.join(first, "p").where("src < c").select("src", F.col("c").alias("dst"))
 
