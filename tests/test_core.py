@@ -397,3 +397,12 @@ def test_overrides_and_scopes_read_written_tables(spark):
     assert "MapInArrow" not in plan and "MapInPandas" not in plan
     plan = plans.graph_scopes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "lineitem.parquet" not in plan and "l_partkey" not in plan
+
+
+def test_ngrams_need_no_shuffle(spark):
+    from weftgraph.plans import network
+
+    plan = network.ngram_lookahead(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    rows = spark.createDataFrame([("k", "1", "a b"), ("k", "2", ""), ("k", "3", None)], "key string, chapter string, text string")
+    assert [(r["pos"], r["n_tokens"], r["two"], r["three"]) for r in mentions.ngrams(rows).collect()] == [(0, 2, "a b", "a b "), (1, 2, "b ", "b  ")]

@@ -31,7 +31,7 @@ def stand_in(spark, sf_dir, least=LEAST) -> DataFrame:
     """(moniker, id)."""
     grams = mentions.ngrams(chapters(spark, sf_dir)).where(F.col("token").rlike("^[A-Z][a-z]+$"))
     each = grams.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("moniker")) for k, c in ((1, "token"), (2, "two"), (3, "three"))])).alias("g")).select("g.*")
-    each = each.where(F.size(F.split("moniker", " ")) == F.col("k")).where(~F.col("moniker").endswith(" "))
+    each = each.where(~F.col("moniker").endswith(" "))  # those that a chapter's end cuts short
     often = each.groupBy("k", "moniker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.element_at(F.array(*[F.lit(x) for x in least]), F.col("k")))
     ranked = ordinals(often.select(F.col("moniker").alias("id"))).select(F.col("id").alias("moniker"), F.col("ordinal").alias("id"))
     return ranked.unionByName(ranked.where("id % 3 = 0").select("moniker", (F.col("id") + 1).alias("id")))
@@ -67,7 +67,7 @@ def tokenise(spark, sf_dir):
 
 
 def ngram_lookahead(spark, sf_dir):
-    return mentions.lookahead(mentions.tokenise(chapters(spark, sf_dir))).select("chapter", "pos", "token", "two", "three")
+    return mentions.ngrams(chapters(spark, sf_dir)).select("chapter", "pos", "token", "two", "three")
 
 
 def html_paragraphs(spark, sf_dir):
