@@ -406,3 +406,20 @@ def test_ngrams_need_no_shuffle(spark):
     assert "Exchange" not in plan and "Window" not in plan
     rows = spark.createDataFrame([("k", "1", "a b"), ("k", "2", ""), ("k", "3", None)], "key string, chapter string, text string")
     assert [(r["pos"], r["n_tokens"], r["two"], r["three"]) for r in mentions.ngrams(rows).collect()] == [(0, 2, "a b", "a b "), (1, 2, "b ", "b  ")]
+
+
+def test_ladder_looks_up_only_words_that_begin_a_moniker(spark):
+    rows = spark.createDataFrame([("b", "1", "x A B C y T z T A B")], "key string, chapter string, text string")
+    lexic = spark.createDataFrame([("A B C", 1), ("B", 2), ("A", 3), ("A", 4)], "moniker string, id bigint")
+    who = spark.createDataFrame([(k, ["b"]) for k in (1, 2, 3, 4)], "id bigint, books array<string>")
+    found = mentions.mentions(mentions.ngrams(rows), mentions.candidates(lexic, who), ["T"])
+    assert sorted((r["pos"], r["step"], r["kind"], r["ids"], r["moniker"]) for r in found.collect()) == [(1, 3, 3, [1], "A B C"), (2, 1, 1, [2], "B"), (5, 1, 0, [], "T"), (8, 1, 1, [3, 4], "A"), (9, 1, 1, [2], "B")]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_in_one_split_equal_those_in_steps(spark):
+    rnd = random.Random(3)
+    pool = [*"ab s's’‘'\t\n\u0085   　é.,-—…/•~?!;:_0Ś"]
+    rows = spark.createDataFrame([("".join(rnd.choices(pool, k=rnd.randint(0, 30))),) for _ in range(2000)], "x string")
+    steps = F.filter(F.split(F.regexp_replace(text.stripped(F.col("x")), text.INFIX, " "), r"(?U)\s+"), lambda t: t != "")
+    assert rows.where(steps != text.tokens(F.col("x"))).count() == 0

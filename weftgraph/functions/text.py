@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 POSSESSIVE = r"(?U)['’‘]s\b"
 APOSTROPHE = r"['’‘]"
 INFIX = r"[“”?!:;,.…\-–—~/•]"
+#: A possessive ending or an apostrophe, and what parts tokens: ``INFIX`` or a blank.
+_DROPPED = r"(?U)['’‘](?:s\b)?"
+_PARTING = r"(?U)[\s“”?!:;,.…\-–—~/•]+"
 
 
 def stripped(text: Column) -> Column:
@@ -18,7 +21,7 @@ def stripped(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The tokens of a text; case is kept, empty ones are not."""
-    return F.filter(F.split(F.regexp_replace(stripped(text), INFIX, " "), r"(?U)\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.regexp_replace(text, _DROPPED, ""), _PARTING), "")
 
 
 def moniker_forms(moniker: Column) -> Column:

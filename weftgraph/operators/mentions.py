@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schemas import LINES_AFTER, LINES_BEFORE, RUN_SIZE
+from .components import written
 
 
 def tokenise(chapters: DataFrame) -> DataFrame:
@@ -28,9 +29,10 @@ def lookahead(toks: DataFrame) -> DataFrame:
 
 def ngrams(chapters: DataFrame) -> DataFrame:
     """What ``lookahead`` gives, made from the array of tokens without a shuffle."""
-    rows = chapters.select("key", "chapter", tokens(F.col("text")).alias("t"))
+    rows = context(chapters)
     zipped = F.arrays_zip("t", F.slice(F.concat("t", F.array(F.lit(""))), 2, F.greatest(F.size("t"), F.lit(1))).alias("a"), F.slice(F.concat("t", F.array(F.lit(""), F.lit(""))), 3, F.greatest(F.size("t"), F.lit(1))).alias("b"))
-    out = rows.where(F.size("t") > 0).select("key", "chapter", F.size("t").alias("n_tokens"), F.posexplode(zipped).alias("pos", "z"))
+    # A filter on the array, which Spark also infers from an inner explode, would make the tokens once more.
+    out = rows.select("key", "chapter", F.size("t").alias("n_tokens"), F.posexplode_outer(zipped).alias("pos", "z")).where("pos is not null")
     return out.select(
         "key", "chapter", "n_tokens", "pos", F.col("z.t").alias("token"), F.concat_ws(" ", "z.t", "z.a").alias("two"), F.concat_ws(" ", "z.t", "z.a", "z.b").alias("three"), F.concat_ws(" ", "z.a", "z.b").alias("next_two"), F.col("z.a").alias("next_one")
     )
@@ -46,20 +48,25 @@ def mentions(grams: DataFrame, lexicon: DataFrame, titles: list[str]) -> DataFra
 
     Three words win over two, two over a title, a title over one word, whoever is present in the book; ``ids`` are the
     entities that are.  A title counts only if neither the next word nor the next two are monikers.  ``lexicon`` is (moniker, cands).
+    Only positions whose word begins a moniker or is a title are looked up, and candidates are read where a moniker has been found.
     """
+    title = F.col("token").isin(titles) if titles else F.lit(False)
+    monikers = lexicon.select("moniker")
+    first = monikers.select(F.substring_index("moniker", " ", 1).alias("token"))
+    if titles:
+        first = first.unionByName(lexicon.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, titles))).alias("token")))
+    grams = grams.join(written(first.distinct()), "token", "left_semi")
     for k, col in ((3, "three"), (2, "two"), (1, "token")):
-        grams = grams.join(lexicon.select(F.col("moniker").alias(f"m{k}"), F.col("cands").alias(f"c{k}")), F.col(col) == F.col(f"m{k}"), "left")
+        grams = grams.join(monikers.toDF(f"m{k}"), F.col(col) == F.col(f"m{k}"), "left")
     for col in ("next_one", "next_two"):
-        known = lexicon.select(F.col("moniker").alias(f"k_{col}"))
-        grams = grams.join(known, (F.col(col) == F.col(f"k_{col}")) & F.col("token").isin(titles) if titles else F.lit(False), "left")
-    title = F.col("token").isin(titles) if titles else F.lit(False)
+        grams = grams.join(monikers.toDF(f"k_{col}"), (F.col(col) == F.col(f"k_{col}")) & title, "left")
     kind = F.when(F.col("m3").isNotNull(), 3).when(F.col("m2").isNotNull(), 2).when(title, F.when(F.col("k_next_one").isNull() & F.col("k_next_two").isNull(), 0)).when(F.col("m1").isNotNull(), 1)
-    book = F.split("key", "/")[0]
-    cands = F.when(F.col("kind") == 3, F.col("c3")).when(F.col("kind") == 2, F.col("c2")).when(F.col("kind") == 1, F.col("c1"))
-    present = F.transform(F.filter(cands, lambda c: F.array_contains(c["books"], book)), lambda c: c["id"])
-    found = grams.withColumn("kind", kind).where("kind is not null")
     moniker = F.when(F.col("kind") == 3, F.col("three")).when(F.col("kind") == 2, F.col("two")).otherwise(F.col("token"))
-    found = found.select("key", "chapter", "n_tokens", "pos", F.greatest("kind", F.lit(1)).alias("step"), "kind", F.coalesce(present, F.array().cast("array<bigint>")).alias("ids"), moniker.alias("moniker"))
+    found = grams.withColumn("kind", kind).where("kind is not null").select("key", "chapter", "n_tokens", "pos", "kind", moniker.alias("moniker"))
+    found = found.join(lexicon.select(F.col("moniker").alias("m"), "cands"), (F.col("moniker") == F.col("m")) & (F.col("kind") > 0), "left")
+    book = F.split("key", "/")[0]
+    present = F.transform(F.filter("cands", lambda c: F.array_contains(c["books"], book)), lambda c: c["id"])
+    found = found.select("key", "chapter", "n_tokens", "pos", F.greatest("kind", F.lit(1)).alias("step"), "kind", F.coalesce(present, F.array().cast("array<bigint>")).alias("ids"), "moniker")
     return found.where("step > 1 or kind = 0 or size(ids) > 0")
 
 
